@@ -106,10 +106,14 @@ class VoteModel:
         return out
 
     def posterior(self) -> Column:
-        odds = F.lit(math.log(self.prior / (1 - self.prior)))
-        for name, t in self.tables.items():
-            ratio = {v: math.log(t[1][v] / t[0][v]) for v in (-1, 0, 1)}
-            odds = odds + F.when(F.col(f"vote_{name}") == 1, ratio[1]).when(F.col(f"vote_{name}") == -1, ratio[-1]).otherwise(ratio[0])
+        """Probability of "good" given the votes. The log ratios stand in one array literal, so that
+        every round of the fit runs the same generated code."""
+        start = math.log(self.prior / (1 - self.prior))
+        ratios = [math.log(t[1][v] / t[0][v]) for t in self.tables.values() for v in (-1, 0, 1)]
+        known = F.array(*(F.lit(x) for x in [start, *ratios]))
+        odds = F.get(known, F.lit(0))
+        for i, name in enumerate(self.tables):
+            odds = odds + F.get(known, F.col(f"vote_{name}") + (3 * i + 2))
         return 1 / (1 + F.exp(-odds))
 
 
