@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
+from . import bpe, huffman, neardup, packing, quality, sharding
+from .staging import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base test and weak-supervision verdict of every document."""
     scored = quality.score(_table(spark, sf_dir, "documents"))
@@ -19,8 +28,46 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen shards of near equal bytes; equal texts stay together."""
+    placed = sharding.assign(_table(spark, sf_dir, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its bin."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op6_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions, lengths and checksums of all documents' ids, from the coded files."""
+    docs = _table(spark, sf_dir, "documents")
+    path = new_path(spark, "huffman")
+    huffman.save(docs, path, vocabulary("word_bpe_49k.json"))
+    read = huffman.read_files(spark, path)
+    return read.select(F.col("key").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text decoded from them."""
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    found = neardup.components(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op4_sharding": op4_sharding,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_huffman_tokens": op6_huffman_tokens,
+    "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op9_simhash_neardup": op9_simhash_neardup,
 }
 
 #: None of the ten can be written as one SQL statement with the same verdicts; tests hold them to brute force.
