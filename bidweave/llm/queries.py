@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, huffman, neardup, packing, quality, sharding
+from . import bpe, huffman, neardup, ngram_lm, packing, quality, sharding
 from .staging import new_path
 
 
@@ -61,6 +61,11 @@ def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts, add-one base score and Katz log10 probability of every document."""
+    return ngram_lm.score(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_sharding": op4_sharding,
@@ -68,6 +73,7 @@ QUERIES = {
     "op6_huffman_tokens": op6_huffman_tokens,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op9_simhash_neardup": op9_simhash_neardup,
+    "op10_katz_lm": op10_katz_lm,
 }
 
 #: None of the ten can be written as one SQL statement with the same verdicts; tests hold them to brute force.
