@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, huffman, neardup, ngram_lm, packing, quality, sharding
+from . import bpe, extraction, huffman, neardup, ngram_lm, packing, quality, sharding, topk
 from .staging import new_path
 
 
@@ -20,6 +20,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best vectors by inner product for every hundredth id, against all rows."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base test and weak-supervision verdict of every document."""
     scored = quality.score(_table(spark, sf_dir, "documents"))
@@ -55,6 +60,11 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extraction.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     found = neardup.components(_table(spark, sf_dir, "documents"))
@@ -67,11 +77,13 @@ def op10_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_exact_top_k": op2_exact_top_k,
     "op3_quality_rules": op3_quality_rules,
     "op4_sharding": op4_sharding,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_huffman_tokens": op6_huffman_tokens,
     "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op8_html_extraction": op8_html_extraction,
     "op9_simhash_neardup": op9_simhash_neardup,
     "op10_katz_lm": op10_katz_lm,
 }
