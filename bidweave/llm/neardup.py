@@ -35,25 +35,31 @@ FRONTIER = 1 << 18
 LEAF_PRODUCT = 16
 
 
-def simhash(text: bytes | None, width: int = SHINGLE, seed: int = SEED) -> int:
-    """Fingerprint as a signed 64-bit number; ``text`` is UTF-8."""
+def _digests(text: bytes | None, width: int, seed: int) -> bytes:
+    """Big-endian XXH64 of every shingle of the lower-cased words, one after another."""
     words = (text or b"").lower().split()  # of bytes: A-Z only, and the six ASCII white space characters
-    if not words:
-        return 0
     if len(words) <= width:
-        digests = xxhash.xxh64_digest(b" ".join(words), seed)
-    else:
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        end = np.cumsum(size + 1) - 1
-        start = end - size
-        joined, digest = memoryview(b" ".join(words)), xxhash.xxh64_digest
-        spans = zip(start[: len(words) - width + 1].tolist(), end[width - 1 :].tolist())
-        digests = b"".join([digest(joined[a:b], seed) for a, b in spans])
-    ones, total = np.zeros(BITS, np.int64), len(digests) // 8
-    hashes = np.frombuffer(digests, np.uint8).reshape(-1, 8)
-    for at in range(0, total, 65_536):
+        return xxhash.xxh64_digest(b" ".join(words), seed) if words else b""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(size + 1) - 1
+    start = end - size
+    joined, digest = memoryview(b" ".join(words)), xxhash.xxh64_digest
+    spans = zip(start[: len(words) - width + 1].tolist(), end[width - 1 :].tolist())
+    return b"".join([digest(joined[a:b], seed) for a, b in spans])
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """Unsigned number of the bits that over half of the big-endian ``hashes`` (bytes, 8 columns) set."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 65_536):
         ones += np.unpackbits(hashes[at : at + 65_536], axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > total).view(">i8")[0])
+    return int(np.packbits(2 * ones > len(hashes)).view(">u8")[0])
+
+
+def simhash(text: bytes | None, width: int = SHINGLE, seed: int = SEED) -> int:
+    """Fingerprint as a signed 64-bit number; ``text`` is UTF-8."""
+    value = _majority(np.frombuffer(_digests(text, width, seed), np.uint8).reshape(-1, 8))
+    return value - (1 << BITS) if value >> (BITS - 1) else value
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -88,7 +94,7 @@ class _Merged:
                 self.root = up
 
 
-def trie_links(left: np.ndarray, right: np.ndarray | None, budget: int, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(left: np.ndarray, right: np.ndarray | None, budget: int, depth: int = 0, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Links that join all fingerprints within ``budget`` bits of each other below ``depth``.
 
     ``left`` and ``right`` are distinct unsigned fingerprints (``right`` None: a self-join); the
@@ -116,7 +122,7 @@ def trie_links(left: np.ndarray, right: np.ndarray | None, budget: int, depth: i
             stack += [(level, nodes[:, at : at + FRONTIER]) for at in range(0, nodes.shape[1], FRONTIER)]
             continue
         small = (nodes[1] - nodes[0]) * (nodes[3] - nodes[2]) <= LEAF_PRODUCT
-        if level == BITS:
+        if level == bits:
             small[:] = True
         if small.any():
             _compare_leaves(a, b, nodes[:, small], merged, shift_b, budget, depth)
@@ -155,15 +161,19 @@ def _compare_leaves(a: np.ndarray, b: np.ndarray, nodes: np.ndarray, merged: _Me
     merged.add(i[near], j[near] + shift_b)
 
 
-def links(classes: DataFrame, max_errors: int = MAX_ERRORS) -> DataFrame:
-    """Links ``u``, ``v`` between distinct fingerprints ``fp`` that join all those within the budget."""
-    n = classes.count()
-    depth = max(1, (n // SUBTREE).bit_length())
+def dealt_subtrees(classes: DataFrame, depth: int, max_errors: int, *keep: str) -> DataFrame:
+    """``fp`` and ``keep`` once for each pair ``a``, ``b`` of subtrees at ``depth`` that may hold links."""
     masks = [sum(1 << i for i in c) for k in range(min(max_errors, depth) + 1) for c in combinations(range(depth), k)]
     prefix = F.shiftrightunsigned("fp", BITS - depth)
-    dealt = classes.select("fp", prefix.alias("prefix"), F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("mask"))
+    dealt = classes.select("fp", *keep, prefix.alias("prefix"), F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("mask"))
     other = F.col("prefix").bitwiseXOR(F.col("mask"))
-    dealt = dealt.select("fp", F.least("prefix", other).alias("a"), F.greatest("prefix", other).alias("b"))
+    return dealt.select("fp", *keep, F.least("prefix", other).alias("a"), F.greatest("prefix", other).alias("b"))
+
+
+def links(classes: DataFrame, max_errors: int = MAX_ERRORS) -> DataFrame:
+    """Links ``u``, ``v`` between distinct fingerprints ``fp`` that join all those within the budget."""
+    depth = max(1, (classes.count() // SUBTREE).bit_length())
+    dealt = dealt_subtrees(classes, depth, max_errors)
 
     def join(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         a, b = int(key[0]), int(key[1])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extraction, huffman, neardup, ngram_lm, packing, quality, sharding, topk
+from . import bpe, extraction, huffman, neardup, ngram_lm, packing, quality, sharding, topk, toxicity
 from .staging import new_path
 
 
@@ -20,6 +20,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, from the labels of those not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), toxicity.score(docs, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best vectors by inner product for every hundredth id, against all rows."""
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
@@ -76,7 +84,15 @@ def op10_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules, toxicity, near-duplicates and packing, one after another."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_exact_top_k": op2_exact_top_k,
     "op3_quality_rules": op3_quality_rules,
     "op4_sharding": op4_sharding,
@@ -86,6 +102,7 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_simhash_neardup": op9_simhash_neardup,
     "op10_katz_lm": op10_katz_lm,
+    "pipeline": pipeline,
 }
 
 #: None of the ten can be written as one SQL statement with the same verdicts; tests hold them to brute force.
