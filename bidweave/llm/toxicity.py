@@ -39,13 +39,16 @@ DECAY = 0.7
 LANDMARKS = 96
 CLEAN_LANDMARKS = 24
 WINDOW, STRIDE = 24, 12
+FIRST, LAST = "\x02", "\x03"  # the ends of a token are letters too: a stem is not the words that start with it
 FIT_DOCS = 6_000
 FIT_BYTES = 100_000
-CLEAN_TOKENS = 20_000
+CLEAN_TOKENS = 6_000
+HARD_TOKENS = 1_500
 ROUNDS = 4
+CHANCE = 0.15
 MARGIN_COST = 10.0
 HELD_OUT_OF = 5
-MOST_KEPT = 500_000
+MOST_KEPT = 250_000  # in each of two generations
 ALPHABET = 128
 EDGES = ".,;:!?\"'()[]{}<>«»„“”’…-–—*_|/\\~`"
 SINGLES = re.compile(rb"(?:(?<=\s)|^)\S(?:\s\S){2,}(?=\s|$)")
@@ -98,15 +101,15 @@ def self_kernel(codes: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def readings(token: str) -> list[str]:
     """What is scored of a token: its bare form and its letters alone, in windows where they are long."""
     bare = token.lower().strip(EDGES)
-    forms = [bare]
+    forms = [f"{FIRST}{bare}{LAST}"]
     if not bare.isalpha() and 2 * len(letters := "".join(filter(str.isalpha, bare))) > len(bare):
-        forms.append(letters)
+        forms.append(f"{FIRST}{letters}{LAST}")
     return [f[a : a + WINDOW] for f in forms for a in range(0, max(1, len(f) - WINDOW + STRIDE), STRIDE)]
 
 
 def disturbed(token: str) -> list[str]:
     """The token with one strange character put in at each place, and with each letter doubled."""
-    inner = range(1, len(token))
+    inner = range(2, len(token) - 1)
     return [token[:i] + "\u0111" + token[i:] for i in inner] + [token[:i] + token[i - 1] + token[i:] for i in inner]
 
 
@@ -187,14 +190,22 @@ class Model:
     def __init__(self, table: np.ndarray, bias: float, slope: float, offset: float):
         self.table, self.bias, self.slope, self.offset = table, bias, slope, offset
         self.kept: dict[bytes, float] = {}
+        self.older: dict[bytes, float] = {}
+
+    def token_margins(self, tokens: list[str]) -> np.ndarray:
+        out = np.full(len(tokens), self.bias)
+        for index, codes, weight in subsequences(tokens):
+            out[index] += self.table[codes] @ weight / np.sqrt(self_kernel(codes, weight))
+        return out
 
     def _learn(self, tokens: Iterable[bytes]) -> None:
         tokens = list(tokens)
+        known = [t for t in tokens if t in self.older]
+        self.kept.update(zip(known, map(self.older.__getitem__, known)))
+        tokens = [t for t in tokens if t not in self.older]
         read = [readings(t.decode("utf-8", "replace")) for t in tokens]
         flat = [r for own in read for r in own]
-        margin = np.full(len(flat), self.bias)
-        for index, codes, weight in subsequences(flat):
-            margin[index] += self.table[codes] @ weight / np.sqrt(self_kernel(codes, weight))
+        margin = self.token_margins(flat)
         at = 0
         for token, own in zip(tokens, read):
             self.kept[token] = float(margin[at : at + len(own)].max())
@@ -203,7 +214,7 @@ class Model:
     def margins(self, bodies: list[bytes]) -> list[float]:
         split = [text_tokens(b) for b in bodies]
         if len(self.kept) > MOST_KEPT:
-            self.kept.clear()
+            self.older, self.kept = self.kept, {}  # what is in use comes back, what is rare goes
         self._learn(set().union(*split) - self.kept.keys())
         get = self.kept.__getitem__
         return [max(map(get, tokens), default=self.bias) for tokens in split]
@@ -219,7 +230,11 @@ def pick_landmarks(sets: list[set[str]], y: list[int], toxic: int, clean: int) -
     for s, label in zip(sets, y):
         (in_toxic if label else in_clean).update(s)
     n1, n0 = max(1, sum(y)), max(1, len(y) - sum(y))
-    able = {t for t, c in in_toxic.items() if len(t) >= ORDER and c >= 2 and c / n1 > 5 * (in_clean[t] + 0.5) / n0}
+    # of tokens that c texts hold, p ** c would be found in toxic texts alone by chance
+    by_count = Counter((in_toxic + in_clean).values())
+    alone = Counter(c for t, c in in_toxic.items() if not in_clean[t])
+    chance = {c: by_count[c] * (n1 / (n1 + n0)) ** c / k for c, k in alone.items()}
+    able = {t for t, c in in_toxic.items() if len(t) > ORDER and c >= 2 and (chance[c] < CHANCE if not in_clean[t] else c >= 10 and c / n1 > 30 * in_clean[t] / n0)}
     left = [(1.0, sorted(able & s)) for s, label in zip(sets, y) if label]
     gain = Counter()
     for w, own in left:
@@ -236,7 +251,7 @@ def pick_landmarks(sets: list[set[str]], y: list[int], toxic: int, clean: int) -
                     if t in gain:
                         gain[t] -= w / 2
                 left[k] = (w / 2, own)
-    usual = sorted((t for t in in_clean if ORDER <= len(t) and t not in out), key=lambda t: (-in_clean[t], t))
+    usual = sorted((t for t in in_clean if ORDER < len(t) and t not in out), key=lambda t: (-in_clean[t], t))
     return out + usual[:clean], len(out)
 
 
@@ -253,30 +268,35 @@ def fit(bodies: list[bytes], y: list[int]) -> Model:
     root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
     clean = Counter(t for s, label in zip(sets, y) if not label for t in s)
     other = sorted(clean, key=lambda t: (-clean[t], t))
-    step = max(1, len(other) // CLEAN_TOKENS)
-    negative = other[::step]
-    owners = [sorted(t for t in s if len(t) >= ORDER) for s, label in zip(sets, y) if label]
+    negative = other[:: max(1, len(other) // CLEAN_TOKENS)]
+    owners = [sorted(t for t in s if len(t) > ORDER and t not in clean) for s, label in zip(sets, y) if label]
     chosen = kernel.landmarks[:toxic]
     strange = [v for t in chosen for v in disturbed(t) if v not in clean]
-    tokens = sorted({t for own in owners for t in own} | set(negative) | set(strange))
+    tokens = sorted({t for own in owners for t in own} | set(chosen) | set(strange))
     place = {t: i for i, t in enumerate(tokens)}
     x = kernel.values(tokens) @ root
-    negative_at, sure_at = [place[t] for t in negative], [place[t] for t in chosen]
-    strange_at = [place[t] for t in strange]
+    sure_at, strange_at = [place[t] for t in chosen], [place[t] for t in strange]
     score = np.zeros(len(tokens))
     score[sure_at] = 1.0
-    w = np.zeros(x.shape[1] + 1)
-    for _ in range(ROUNDS):
+    model = Model(kernel.table, 0.0, 1.0, 0.0)
+    easy, hard, found = kernel.values(negative) @ root, np.zeros((0, len(root))), {}
+    for turn in range(ROUNDS):
         worst_at = [max((place[t] for t in own), key=lambda i: score[i]) for own in owners if own]
-        groups = [(worst_at, 1.0, 1.0), (sure_at, 1.0, 1.0), (strange_at, 1.0, 0.5), (negative_at, -1.0, 3.0)]
-        rows = np.array([i for at, _, _ in groups for i in at])
-        target = np.array([t for at, t, _ in groups for _ in at])
-        cost = np.array([MARGIN_COST * 1000 * share_of / len(at) for at, _, share_of in groups for _ in at])
-        w = squared_hinge(x[rows], target, cost)
+        worst_at = [i for i in worst_at if score[i] > 0] if turn else worst_at  # a text that nothing explains teaches nothing
+        groups = [(x[worst_at], 1.0, 1.0), (x[sure_at], 1.0, 1.0), (x[strange_at], 1.0, 0.5), (easy, -1.0, 2.0), (hard, -1.0, 2.0)]
+        target = np.concatenate([np.full(len(g), t) for g, t, _ in groups])
+        cost = np.concatenate([np.full(len(g), MARGIN_COST * 1000 * part / max(1, len(g))) for g, _, part in groups])
+        w = squared_hinge(np.concatenate([g for g, _, _ in groups]), target, cost)
         score = x @ w[:-1] + w[-1]
-    model = Model(kernel.collapsed(root @ w[:-1]), float(w[-1]), 1.0, 0.0)
-    model.slope, model.offset = logistic(np.array(model.margins(bodies)), np.array(y))
-    model.kept = {}
+        model = Model(kernel.collapsed(root @ w[:-1]), float(w[-1]), 1.0, 0.0)
+        near = model.token_margins(other)
+        worst = [other[i] for i in np.argsort(-near, kind="stable")[:HARD_TOKENS] if near[i] > -1 and other[i] not in found]
+        found |= dict.fromkeys(worst)
+        hard = np.concatenate([hard, kernel.values(worst) @ root])
+    margin, target = np.array(model.margins(bodies)), np.array(y)
+    explained = (target == 0) | (margin > 0)
+    model.slope, model.offset = logistic(margin[explained], target[explained])
+    model.kept, model.older = {}, {}
     return model
 
 
