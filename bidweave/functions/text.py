@@ -46,7 +46,7 @@ def location(city: Column, state: Column, country: Column | None = None) -> Colu
 
 def agency_name(path: Column, office: Column, subtier: Column, department: Column) -> Column:
     """Last step of a dotted path, else the narrowest unit that has a name."""
-    steps = F.filter(F.transform(F.split(path, r"\."), F.trim), lambda s: s != "")
+    steps = F.filter(F.transform(F.split(path, r"\."), lambda x: F.trim(x)), lambda s: s != "")
     return F.coalesce(F.get(F.reverse(steps), F.lit(0)), trimmed(office), trimmed(subtier), trimmed(department), F.lit("Federal agency"))
 
 
@@ -100,7 +100,7 @@ def content_hash(*columns: str) -> Column:
 
 def comma_list(c: Column, upper: bool = True) -> Column:
     """Items between commas or line ends, trimmed, blanks dropped."""
-    items = F.filter(F.transform(F.split(c, "[\n,]"), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.split(c, "[\n,]"), lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(items, F.upper) if upper else items
 
 

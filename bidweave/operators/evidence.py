@@ -82,7 +82,7 @@ def plausible_name(c: Column) -> Column:
 
 def page_lines(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Trimmed lines of each page's visible text, numbered without the empty ones."""
-    rows = F.filter(F.transform(F.split(visible_text(F.col(html)), "\n"), F.trim), lambda x: x != "")
+    rows = F.filter(F.transform(F.split(visible_text(F.col(html)), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return pages.select(key, F.posexplode(rows).alias("line", "content"))
 
 

@@ -32,10 +32,11 @@ def federal_records(rows: DataFrame) -> DataFrame:
     """The federal feed's rows that can still be bid on."""
     kept = rows.where(trimmed(F.col("NoticeId")).isNotNull())
     kept = kept.where((F.lower(F.coalesce(trimmed(F.col("Active")), F.lit("yes"))) == "yes") & ~F.coalesce(F.col("Type").isin(*NOT_OFFERED), F.lit(False)))
+    department = F.col("`Department/Ind.Agency`")
     return kept.select(
         F.trim("NoticeId").alias("external_id"),
         trimmed(F.col("Title")).alias("title"),
-        agency_name(F.concat_ws(".", *(trimmed(F.col(c)) for c in ("Department/Ind.Agency", "Sub-Tier", "Office"))), F.col("Office"), F.col("Sub-Tier"), F.col("Department/Ind.Agency")).alias("agency"),
+        agency_name(F.concat_ws(".", trimmed(department), trimmed(F.col("Sub-Tier")), trimmed(F.col("Office"))), F.col("Office"), F.col("Sub-Tier"), department).alias("agency"),
         F.to_utc_timestamp(F.try_to_timestamp(F.substring("ResponseDeadLine", 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")), "UTC").alias("due_at"),
         state_code(F.col("PopState")).alias("state_code"),
         trimmed(F.col("NaicsCode")).alias("naics"),
@@ -51,8 +52,8 @@ def page_keys(total: Column, size: int) -> Column:
 def json_records(payloads: DataFrame, item: str, schema: T.StructType, body: str = "body", keep: Sequence[str] = ()) -> DataFrame:
     """Items of the array ``item`` of JSON pages, one row each."""
     whole = T.StructType([T.StructField(item, T.ArrayType(schema))])
-    parsed = payloads.select(*keep, F.from_json(body, whole).alias("page"))
-    return parsed.select(*keep, F.posexplode(f"page.{item}").alias("position", "item")).select(*keep, "position", "item.*")
+    parsed = payloads.select(*keep, F.from_json(body, whole).alias("_page"))
+    return parsed.select(*keep, F.posexplode(f"_page.{item}").alias("position", "item")).select(*keep, "position", "item.*")
 
 
 def bag_value(bag: str, name: str) -> Column:
