@@ -39,6 +39,13 @@ def coverage_summary(states: DataFrame) -> DataFrame:
     return states.agg(*counts.values(), F.sum("open_records").alias("open_records"))
 
 
+def discovery_by_source(records: DataFrame) -> DataFrame:
+    """What a document scan found, by source; ``records`` carry their document state."""
+    return records.groupBy("adapter_key").agg(
+        F.count("*").alias("scanned"), F.count_if(F.col("identified") > 0).alias("with_documents"), F.coalesce(F.sum("identified"), F.lit(0)).alias("documents")
+    )
+
+
 def agency_activity(agencies: DataFrame, opportunities: DataFrame, limit: int = 100) -> DataFrame:
     counts = opportunities.groupBy("agency_id").agg(F.count_if(F.col("status") == "open").alias("open_count"), F.count("*").alias("total_count"), F.max("due_at").alias("last_due"))
     joined = agencies.join(counts, "agency_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("open_count", "total_count")})

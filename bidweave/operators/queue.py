@@ -76,6 +76,10 @@ def expire_for_closed(jobs: DataFrame, closed: DataFrame, key: str = "opportunit
     return jobs.join(gone, key, "left").withColumn("state", F.when(out, "dead").otherwise(F.col("state"))).drop("_gone")
 
 
+def job_counts(jobs: DataFrame, key: str = "opportunity_id") -> DataFrame:
+    return jobs.groupBy(key).agg(F.count_if(F.col("state").isin("pending", "leased")).alias("active"), F.count_if(F.col("state") == "dead").alias("dead"))
+
+
 def document_order(filename: Column) -> Column:
     return first_match(filename, DOCUMENT_RANKS, "9").cast("int")
 

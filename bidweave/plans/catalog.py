@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, rules, text
-from ..operators import cdc, coverage, decision, evidence, inventory, match, queue
+from ..operators import cdc, coverage, decision, documents, evidence, inventory, match, queue
+from ..sources import landed
 from . import views
 from .views import AS_OF, SQL
 
@@ -242,9 +243,9 @@ def j12_reconcile_names(spark, sf_dir):
 # -- snapshots ------------------------------------------------------------------------------------
 # Stored: orders whose key is not 1 modulo 5; snapshot: those not 2 modulo 5, some of them changed.
 
-_SNAPSHOTS = """, stored as (select *, md5(id || ':' || title || ':' || estimated_value::bigint) content_hash from opp where id % 5 <> 1),
+_SNAPSHOTS = """, stored as (select *, md5(id || ':' || title || ':' || round(estimated_value)::bigint) content_hash from opp where id % 5 <> 1),
 inc0 as (select * replace (case when id % 7 = 0 then title || ' revised' else title end as title, case when id % 11 = 0 then 'closed' else status end as status, case when id % 13 = 0 then estimated_value + 1000 else estimated_value end as estimated_value) from opp where id % 5 <> 2),
-incoming as (select *, md5(id || ':' || title || ':' || estimated_value::bigint) content_hash from inc0)"""
+incoming as (select *, md5(id || ':' || title || ':' || round(estimated_value)::bigint) content_hash from inc0)"""
 _TRACKED = ["title", "status", "estimated_value"]
 
 
@@ -359,7 +360,7 @@ def e6_page_contacts(spark, sf_dir):
     return evidence.contacts(evidence.page_lines(Tables(spark, sf_dir).raw("pages")), rules=spotted)
 
 
-_REQUIREMENTS_SQL = ", rq as (select l_orderkey opportunity_id, case l_linenumber % 6 when 0 then 'bonding' when 1 then 'certification' when 2 then 'technical' when 3 then 'insurance' when 4 then 'site_visit' else 'pricing' end category, case l_linenumber % 6 when 0 then 'bond of $' || (l_extendedprice::bigint) else p_name || ' ' || p_type end requirement, l_extendedprice::bigint amount from lineitem join part on l_partkey = p_partkey)"
+_REQUIREMENTS_SQL = ", rq as (select l_orderkey opportunity_id, case l_linenumber % 6 when 0 then 'bonding' when 1 then 'certification' when 2 then 'technical' when 3 then 'insurance' when 4 then 'site_visit' else 'pricing' end category, case l_linenumber % 6 when 0 then 'bond of $' || (round(l_extendedprice)::bigint) else p_name || ' ' || p_type end requirement, round(l_extendedprice)::bigint amount from lineitem join part on l_partkey = p_partkey)"
 
 
 def _requirements(t: Tables) -> DataFrame:
@@ -475,3 +476,105 @@ def t22_shown_dates(spark, sf_dir):
 @query("o3_document_order", "select distinct p_name, case when regexp_matches(p_name, '(?i)solicitation|rfp|rfq|ifb|invitation') then 0 when regexp_matches(p_name, '(?i)spec|scope|statement of work|sow') then 1 when regexp_matches(p_name, '(?i)addend|amend') then 2 when regexp_matches(p_name, '(?i)price|bid form|pricing') then 3 else 9 end::int as rank from part")
 def o3_document_order(spark, sf_dir):
     return Tables(spark, sf_dir).raw("part").select("p_name", queue.document_order(F.col("p_name")).alias("rank")).distinct()
+
+
+# -- further aggregates, windows and catalog steps --------------------------------------------------
+
+
+@query("a13_job_counts", f"{_JOBS_SQL} select opportunity_id, count(*) filter (where state in ('pending', 'leased')) active, count(*) filter (where state = 'dead') dead from jobs group by 1")
+def a13_job_counts(spark, sf_dir):
+    return queue.job_counts(_jobs(Tables(spark, sf_dir)))
+
+
+@query("a14_discovery_by_source", "select adapter_key, count(*) scanned, count(*) filter (where identified > 0) with_documents, coalesce(sum(identified), 0)::bigint documents from cur left join ds on id = opportunity_id group by 1")
+def a14_discovery_by_source(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return coverage.discovery_by_source(inventory.with_document_state(t.current(), t.documents))
+
+
+@query("a17_reconciled_sweeps", "select user_id source_id, count(*) n_rows, count(distinct event_type) n_ids, max(event_id % 5) + 1 reported, count(*) = max(event_id % 5) + 1 and count(distinct event_type) = max(event_id % 5) + 1 complete from events group by 1")
+def a17_reconciled_sweeps(spark, sf_dir):
+    """A sweep is complete when rows, distinct ids and the reported number agree."""
+    sweeps = Tables(spark, sf_dir).raw("events").groupBy(F.col("user_id").alias("source_id")).agg(
+        F.count("*").alias("n_rows"), F.countDistinct("event_type").alias("n_ids"), (F.max(F.col("event_id") % 5) + 1).alias("reported")
+    )
+    return sweeps.withColumn("complete", cdc.is_complete(F.col("reported"), F.col("n_rows"), F.col("n_ids")))
+
+
+@query("j3_sources_without_records", "select source_id, adapter_key from src where source_id not in (select source_id from opp where status = 'open' and estimated_value > 480000)")
+def j3_sources_without_records(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    busy = t.opportunities.where((F.col("status") == "open") & (F.col("estimated_value") > 480_000))
+    return t.sources.join(busy, "source_id", "left_anti").select("source_id", "adapter_key")
+
+
+@query("m5_carried_codes", f"{_SNAPSHOTS} select i.id, array_to_string(case when len(i.codes) = 0 then coalesce(s.naics_codes, []) else i.codes end, ',') codes from (select id, case when id % 3 = 0 then [] else naics_codes end codes from incoming) i left join stored s on i.id = s.id")
+def m5_carried_codes(spark, sf_dir):
+    stored, incoming = _snapshots(Tables(spark, sf_dir))
+    emptied = incoming.withColumn("naics_codes", F.when(F.col("id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.col("naics_codes")))
+    return cdc.carried_forward(emptied.select("id", "naics_codes"), stored, "naics_codes").select("id", F.array_join("naics_codes", ",").alias("codes"))
+
+
+@query("m14_absent_inserts", "select distinct l_orderkey id, p_name target from lineitem join part on l_partkey = p_partkey where l_linenumber % 2 = 0 except select l_orderkey, p_name from lineitem join part on l_partkey = p_partkey where l_linenumber % 2 = 1")
+def m14_absent_inserts(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    named = t.raw("lineitem").join(t.raw("part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("id"), F.col("p_name").alias("target"), (F.col("l_linenumber") % 2).alias("odd"))
+    return documents.insert_absent(named.where("odd = 1"), named.where("odd = 0").select("id", "target"), ["id", "target"])
+
+
+@query("q7_revived_documents", "select l_orderkey id, l_linenumber line_number, case when l_linenumber = n.l2 and extraction_status = 'fetch_failed' then 'cataloged' else extraction_status end extraction_status from (select l_orderkey, l_linenumber, case when l_linestatus = 'F' then 'analyzed' else 'fetch_failed' end extraction_status from lineitem) d left join (select distinct l_orderkey k2, l_linenumber l2 from lineitem where l_returnflag = 'A') n on l_orderkey = k2 and l_linenumber = l2")
+def q7_revived_documents(spark, sf_dir):
+    lines = Tables(spark, sf_dir).raw("lineitem").withColumnsRenamed({"l_orderkey": "id", "l_linenumber": "line_number"})
+    stored = lines.select("id", "line_number", F.lit("old").alias("source_url"), F.when(F.col("l_linestatus") == "F", "analyzed").otherwise("fetch_failed").alias("extraction_status"))
+    fresh = lines.where("l_returnflag = 'A'").select("id", "line_number", F.lit("new").alias("source_url"))
+    return documents.refresh(stored, fresh, ["id", "line_number"]).select("id", "line_number", "extraction_status")
+
+
+@query("w4_line_context", "select conv_id, turn, array_to_string(list(role) over (partition by conv_id order by turn rows between 2 preceding and 3 following), ' ') near from conversations")
+def w4_line_context(spark, sf_dir):
+    """Two turns before to three after."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-2, 3)
+    return Tables(spark, sf_dir).raw("conversations").select("conv_id", "turn", F.array_join(F.collect_list("role").over(w), " ").alias("near"))
+
+
+@query("w5_carried_rows", ", w as (select user_id page, event_id as position, case when event_type = 'signup' then event_id end bid, event_type title from events), c as (select *, last_value(bid ignore nulls) over (partition by page order by position rows unbounded preceding) b from w) select page, b::varchar bid_number, max(case when bid is not null then title end) title, count(*) filter (where bid is null)::int addenda from c where b is not null group by 1, 2")
+def w5_carried_rows(spark, sf_dir):
+    """Rows without a number belong to the last numbered row above them."""
+    number = F.when(F.col("event_type") == "signup", F.col("event_id").cast("string"))
+    rows = Tables(spark, sf_dir).raw("events").select(F.col("user_id").alias("page"), F.col("event_id").alias("position"), number.alias("bid_number"), F.col("event_type").alias("title"))
+    return landed.with_addenda(rows, "page").withColumn("addenda", F.size("addenda"))
+
+
+@query("f15_public_hosts", "select page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) host from pages where url ilike 'http%' and not regexp_matches(lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)), '^localhost$|\\.local$|^127\\.|^10\\.|^192\\.168\\.|^169\\.254\\.')")
+def f15_public_hosts(spark, sf_dir):
+    pages = Tables(spark, sf_dir).raw("pages").where(documents.is_public(F.col("url")))
+    return pages.select("page_id", documents.host(F.col("url")).alias("host"))
+
+
+@query("d1_page_documents")
+def d1_page_documents(spark, sf_dir):
+    return documents.page_documents(Tables(spark, sf_dir).raw("pages"))
+
+
+@query("d5_payload_links", ", l as (select id, unnest(list_distinct(list_transform(naics_codes, lambda c: case when c like '%1%' then 'https://x.org/' || c else c end))) target from opp) select * from l where regexp_matches(target, '(?i)^https?://')")
+def d5_payload_links(spark, sf_dir):
+    link = F.transform("naics_codes", lambda c: F.when(c.contains("1"), F.concat(F.lit("https://x.org/"), c)).otherwise(c))
+    return documents.payload_links(Tables(spark, sf_dir).opportunities.withColumn("resource_links", link))
+
+
+@query("p9_snapshot_hashes", """select id, sha256('{"due_at":"' || strftime(due_at, '%Y-%m-%dT%H:%M:%S') || '.000Z","status":"' || status || '","title":"' || title || '"}') content_hash from opp""")
+def p9_snapshot_hashes(spark, sf_dir):
+    return Tables(spark, sf_dir).opportunities.select("id", text.content_hash("title", "status", "due_at").alias("content_hash"))
+
+
+@query("x4_agency_paths", "select p_partkey, trim(p_name) agency from part")
+def x4_agency_paths(spark, sf_dir):
+    path = F.concat(F.col("p_brand"), F.lit(" . "), F.col("p_type"), F.lit("."), F.col("p_name"), F.lit(". "))
+    return Tables(spark, sf_dir).raw("part").select("p_partkey", text.agency_name(path, F.col("p_type"), F.lit(None), F.lit(None)).alias("agency"))
+
+
+@query("x19_money", "select l_orderkey, l_linenumber, l_partkey, (round(l_extendedprice)::bigint * case l_linenumber % 3 when 0 then 1000000 when 1 then 1000 else 1 end)::double amount from lineitem")
+def x19_money(spark, sf_dir):
+    unit = F.when(F.col("l_linenumber") % 3 == 0, " million").when(F.col("l_linenumber") % 3 == 1, "k").otherwise(" flat")
+    words = F.concat(F.lit("a bond of $ "), F.format_number(F.round("l_extendedprice"), 0), unit, F.lit(" in all"))
+    return Tables(spark, sf_dir).raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", text.money(words).alias("amount"))
