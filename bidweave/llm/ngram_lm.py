@@ -26,6 +26,7 @@ read. Where counts of counts are too thin for Good-Turing ratios, a count r is d
 from __future__ import annotations
 
 import gc
+import time
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,8 @@ from pyspark.sql import functions as F
 
 from .staging import drop_stage, shuffle_width, stage
 
-BLOCK_BYTES = 20 << 20
+RANGE_BYTES = 20 << 20  # text for each key range
+BLOCKS_PER_RANGE = 2
 DISCOUNTED = 5  # counts up to this are discounted
 HELD_OUT_OF = 7
 HELD_OUT = 2
@@ -155,8 +157,10 @@ def held_out(key: str) -> Column:
 def _release(spark) -> None:
     """Shuffle files go once the driver has collected the plans that made them: ask for that between
     passes, so that disk holds one pass at a time."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1)  # the cleaner works beside the driver
 
 
 def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -164,8 +168,9 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("string").alias("key"), held_out(key).alias("held"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
     size = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    parts = max(shuffle_width(spark), -(-size // BLOCK_BYTES))
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("key", "body"), F.lit(parts)).cast("int")).groupBy("block")
+    parts = max(shuffle_width(spark), -(-size // RANGE_BYTES))
+    dealt = F.pmod(F.xxhash64("key", "body"), F.lit(BLOCKS_PER_RANGE * parts)).cast("int")
+    blocks = rows.withColumn("block", dealt).groupBy("block")
 
     def load(group: pd.DataFrame) -> Block:
         return Block(group["body"].tolist(), ~group["held"].to_numpy(dtype=bool))
@@ -201,6 +206,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     empty = [0] * (DISCOUNTED + 3)
     lower = Unigrams(*stats.get(WORDS, empty)[:2], stats.get(WORDS, empty)[2:])
     ratio = discounts(stats.get(PAIRS, empty)[2:])
+    del asked, added
     _release(spark)
 
     replies = table.where("what = 'reply'").select("kind", "part", "block", "data")
@@ -236,6 +242,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     summed = blocks.cogroup(replies.groupBy("block")).applyInPandas(contexts, "part int, block int, keys binary, lost binary, seen binary, total binary")
     weighed = summed.groupBy("part").applyInPandas(weigh, "part int, block int, weight binary, below binary")
     backoff, backoff_path = stage(weighed, "ngram-backoff")
+    del summed, weighed
     _release(spark)
 
     columns = ["kind", "part", "block", "data", "below"]
