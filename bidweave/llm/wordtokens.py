@@ -10,13 +10,28 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
 #: Letters that the file's normaliser only lower-cases, so that a run of them is one piece.
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 CLOSING = ".,"
-MOST_KEPT = 400_000
+MOST_KEPT = 250_000  # in each of two generations
+SLICE_BYTES = 2 << 20
+
+
+def by_bytes(texts: list[bytes], most: int = SLICE_BYTES) -> Iterator[list[bytes]]:
+    """Runs of ``texts`` of about ``most`` bytes, so that few texts are held as words at a time."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def _byte_letters() -> dict[int, int]:
@@ -37,6 +52,7 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.dtype, self.letters = dtype, _byte_letters()
         self.kept: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.closing = {c: self._pack(self._library([c])[0]) for c in CLOSING}
 
     def _library(self, words: list[str]) -> list[list[int]]:
@@ -49,6 +65,9 @@ class WordEncoder:
         kept, hard = self.kept, []
         piece = self.tokenizer.model.tokenize
         for word in words:
+            if (ids := self.older.get(word)) is not None:
+                kept[word] = ids
+                continue
             text = word.decode()
             end = text[-1] if text[-1] in CLOSING else ""
             core = text[:-1] if end else text
@@ -57,15 +76,18 @@ class WordEncoder:
                 continue
             core = core.lower()
             raw = core.encode()
-            if (ids := kept.get(raw)) is None:
+            if (ids := kept.get(raw) or self.older.get(raw)) is None:
                 ids = kept[raw] = self._pack([t.id for t in piece(raw.decode("latin-1").translate(self.letters))])
             kept[word] = ids + self.closing[end] if end else ids
         for word, ids in zip(hard, self._library([w.decode() for w in hard])):
             kept[word] = self._pack(ids)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        return [ids for part in by_bytes(texts) for ids in self._encode(part)]
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.kept) > MOST_KEPT:
-            self.kept.clear()
+            self.older, self.kept = self.kept, {}  # what is in use comes back, what is rare goes
         split = [t.split() for t in texts]  # of bytes: at the six ASCII white space characters
         self._learn(set().union(*split) - self.kept.keys())
         get = self.kept.__getitem__
