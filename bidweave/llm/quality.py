@@ -38,6 +38,7 @@ RULES: tuple[tuple[str, str, str], ...] = (
 )
 
 ROUNDS = 25
+SETTLED = 1e-4
 SMOOTHING = 1.0
 THRESHOLD = 0.5
 
@@ -96,6 +97,10 @@ class VoteModel:
     def __init__(self, prior: float, tables: dict[str, dict[int, dict[int, float]]]):
         self.prior, self.tables = prior, tables
 
+    def distance(self, other: VoteModel) -> float:
+        """Greatest difference between two models' probabilities."""
+        return max(abs(t[y][v] - other.tables[n][y][v]) for n, t in self.tables.items() for y in (0, 1) for v in (-1, 0, 1))
+
     def accuracies(self) -> dict[str, float]:
         """Of each rule, the probability that a vote it casts is right."""
         out = {}
@@ -118,7 +123,8 @@ class VoteModel:
 
 
 def fit(patterns: DataFrame, rounds: int = ROUNDS) -> VoteModel:
-    """EM over the distinct vote vectors with their ``weight``; each round is one aggregation.
+    """EM over the distinct vote vectors with their ``weight``; each round is one aggregation, and
+    the rounds end once no probability moves by more than SETTLED.
 
     The first expectation is the vote balance. A rule may never be more likely to vote bad on good
     documents than on bad ones (its tables are then pooled), which keeps the classes from swapping.
@@ -145,7 +151,9 @@ def fit(patterns: DataFrame, rounds: int = ROUNDS) -> VoteModel:
                 pooled = {v: prior * t[1][v] + (1 - prior) * t[0][v] for v in (-1, 0, 1)}
                 t = {0: pooled, 1: pooled}
             tables[n] = t
-        model = VoteModel(prior, tables)
+        before, model = model, VoteModel(prior, tables)
+        if before.tables and model.distance(before) < SETTLED:
+            break
         good = model.posterior()
     return model
 
