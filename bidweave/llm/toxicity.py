@@ -34,17 +34,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .wordtokens import by_bytes
+
 ORDER = 3
 DECAY = 0.7
 LANDMARKS = 96
 CLEAN_LANDMARKS = 24
 WINDOW, STRIDE = 24, 12
 FIRST, LAST = "\x02", "\x03"  # the ends of a token are letters too: a stem is not the words that start with it
-FIT_DOCS = 6_000
+FIT_DOCS = 5_000
 FIT_BYTES = 100_000
 CLEAN_TOKENS = 6_000
 HARD_TOKENS = 1_500
-ROUNDS = 4
+ROUNDS = 3
 CHANCE = 0.15
 MARGIN_COST = 10.0
 HELD_OUT_OF = 5
@@ -212,6 +214,9 @@ class Model:
             at += len(own)
 
     def margins(self, bodies: list[bytes]) -> list[float]:
+        return [m for part in by_bytes(bodies) for m in self._margins(part)]
+
+    def _margins(self, bodies: list[bytes]) -> list[float]:
         split = [text_tokens(b) for b in bodies]
         if len(self.kept) > MOST_KEPT:
             self.older, self.kept = self.kept, {}  # what is in use comes back, what is rare goes
@@ -260,7 +265,12 @@ def fit(bodies: list[bytes], y: list[int]) -> Model:
     share = sum(y) / len(y) if y else 0.0
     if not 0 < share < 1:
         return Model(np.zeros(ALPHABET**ORDER, np.float32), 0.0, 0.0, 30.0 if share else -30.0)
-    sets = [{r for t in set(text_tokens(b)) for r in readings(t.decode("utf-8", "replace"))} for b in bodies]
+    known: dict[bytes, list[str]] = {}
+    sets = []
+    for b in bodies:
+        tokens = set(text_tokens(b))
+        known.update((t, readings(t.decode("utf-8", "replace"))) for t in tokens - known.keys())
+        sets.append({r for t in tokens for r in known[t]})
     landmarks, toxic = pick_landmarks(sets, y, LANDMARKS - CLEAN_LANDMARKS, CLEAN_LANDMARKS)
     kernel = Kernel(landmarks)
     gram = kernel.values(kernel.landmarks)
@@ -293,10 +303,11 @@ def fit(bodies: list[bytes], y: list[int]) -> Model:
         worst = [other[i] for i in np.argsort(-near, kind="stable")[:HARD_TOKENS] if near[i] > -1 and other[i] not in found]
         found |= dict.fromkeys(worst)
         hard = np.concatenate([hard, kernel.values(worst) @ root])
-    margin, target = np.array(model.margins(bodies)), np.array(y)
+    every = sorted(set().union(*sets))
+    of_token = dict(zip(every, model.token_margins(every).tolist()))
+    margin, target = np.array([max(map(of_token.__getitem__, s), default=model.bias) for s in sets]), np.array(y)
     explained = (target == 0) | (margin > 0)
     model.slope, model.offset = logistic(margin[explained], target[explained])
-    model.kept, model.older = {}, {}
     return model
 
 
