@@ -1,11 +1,15 @@
 """One document of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more.
 
-Candidates come from SimHash tries. One fingerprint whose bits must agree so closely would miss most
-pairs near the threshold, so BANDS fingerprints of BAND_BITS bits are taken from independent hashes
-of the shingles, and each band's trie is joined with itself within BAND_ERRORS bits. A pair of 0.8
-passes a band about two times in five, so all bands miss it about twice in a thousand; every
-candidate link is then held to the exact similarity of the two texts' shingle sets. Equal texts are
-one node from the start, so copies are never compared.
+Candidates come from an exact prefix filter. The shingles of every text are put into one global order,
+those that a sample of texts shares often coming last. Of two texts as alike as this, each holds their
+first common shingle among its first fifth, and so early that what follows in either can still make up
+the common part; so texts meet in the bucket of every such shingle, and no pair is missed. The sample
+decides on the cost alone, since any order gives the same pairs.
+
+Texts that share much would give the square of their number. A bucket of over SMALL texts therefore
+first links its HUBS least texts with all others; each link is held to the exact similarity of the two
+shingle sets, and only then every pair is tested whose ends no verified links have joined. Equal texts
+are one node from the start, so copies are never compared.
 
 Edge cases: null and empty texts are copies of each other; texts of fewer than five words are one
 shingle; of rows equal in id and text one stays; ids that are null come after all others when the
@@ -19,32 +23,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .neardup import BITS, SEED, SUBTREE, _digests, _majority, dealt_subtrees, trie_links
+from .neardup import SEED, _digests
 from .staging import stage
 
-BANDS = 12
-BAND_BITS = 32
-BAND_ERRORS = 2
-SKETCH_SHINGLE = 3
 SHINGLE = 5
 SIMILARITY = 0.8
-
-
-def sketch(text: bytes | None) -> list[int]:
-    """BANDS fingerprints, each in the upper BAND_BITS bits of a signed 64-bit number."""
-    h = np.frombuffer(_digests(text, SKETCH_SHINGLE, SEED), ">u8").astype(np.uint64)
-    out: list[int] = []
-    for k in range(-(-BANDS * BAND_BITS // BITS)):
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
-        mixed = h ^ (h >> np.uint64(29))
-        whole = _majority(mixed.astype(">u8").view(np.uint8).reshape(-1, 8))
-        out += [whole >> (BITS - BAND_BITS), whole & ((1 << BAND_BITS) - 1)]
-    top = [x << (BITS - BAND_BITS) for x in out[:BANDS]]
-    return [x - (1 << BITS) if x >> (BITS - 1) else x for x in top]
+ORDER_TEXTS = 10_000  # sampled for the order of shingles
+COMMON = 4  # a shingle of that many sampled texts comes after rarer ones
+MOST_COMMON = 200_000
+SMALL = 8
+HUBS = 4
+PAIRS_AT_ONCE = 1 << 20
 
 
 def shingle_set(text: bytes | None) -> bytes:
@@ -59,43 +53,71 @@ def similarity(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def _candidates(sketches: DataFrame) -> DataFrame:
-    """Links ``u``, ``v`` between texts that agree in a band; no more of them than texts for each subtree."""
-    bands = sketches.select("tid", F.posexplode("fps").alias("band", "fp"))
-    classes, _ = stage(bands.groupBy("band", "fp").agg(F.min("tid").alias("rep")), "copy-classes")
-    same = bands.join(classes, ["band", "fp"]).where("tid <> rep").select(F.col("tid").alias("u"), F.col("rep").alias("v"))
-    depth = max(1, (classes.count() // BANDS // SUBTREE).bit_length())
-    dealt = dealt_subtrees(classes, depth, BAND_ERRORS, "band", "rep")
-
-    def join(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        _, a, b = (int(x) for x in key)
-        fp, rep = group["fp"].to_numpy().view(np.uint64), group["rep"].to_numpy()
-        order = np.argsort(fp)
-        if a == b:
-            u, v = trie_links(fp, None, BAND_ERRORS, depth, BAND_BITS)
-        else:
-            first = (fp >> np.uint64(BITS - depth)) == np.uint64(a)
-            u, v = trie_links(fp[first], fp[~first], BAND_ERRORS - (a ^ b).bit_count(), depth, BAND_BITS)
-        place = lambda x: rep[order[np.searchsorted(fp[order], x)]]
-        return pd.DataFrame({"u": place(u), "v": place(v)})
+def prefix(shingles: bytes, common: np.ndarray, times: np.ndarray) -> tuple[int, np.ndarray]:
+    """Number of shingles, and the first fifth of them (and one) in the global order; no shingle counts as zero."""
+    h = np.frombuffer(shingles, "<i8")
+    if not len(h):
+        return 0, np.zeros(1, np.int64)
+    seen = np.zeros(len(h), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        seen = np.where(common[at] == h, times[at], 0)
+    return len(h), h[np.lexsort((h, seen))[: len(h) // 5 + 1]]
 
-    near = dealt.groupBy("band", "a", "b").applyInPandas(join, "u long, v long")
-    pairs = same.union(near)
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
 
-
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` without all but the least ``key`` of each group."""
-    body = F.coalesce(F.col(text), F.lit(""))
+def _common(plain: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that many of ORDER_TEXTS sampled rows hold, at most MOST_COMMON of them, and how many do."""
+    every = max(1, plain.count() // ORDER_TEXTS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"key": batch["key"], "tid": batch["tid"], "fps": [sketch(t) for t in batch["body"]]})
+            for body in batch["body"]:
+                yield pd.DataFrame({"h": np.frombuffer(shingle_set(body), "<i8")})
+
+    sample = plain.where(F.pmod("tid", F.lit(every)) == 0).dropDuplicates(["tid"]).select("body")
+    counted = sample.mapInPandas(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    top = counted.orderBy(F.desc("n"), "h").limit(MOST_COMMON).toPandas().sort_values("h")
+    return top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+
+
+def _pairs_of(batch: pa.RecordBatch, hubs: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of each bucket that may be alike; with ``hubs``, of a large one only those with its hubs."""
+    flat = lambda name: batch.column(name).flatten().to_numpy(zero_copy_only=False)
+    sizes = batch.column("tid").value_lengths().to_numpy(zero_copy_only=False)
+    tid, n, left, root = flat("tid"), flat("n"), flat("left"), flat("root")
+    size = np.repeat(sizes, sizes)
+    rank = np.arange(len(tid)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    after = size - rank - 1
+    if hubs:
+        after = np.where((size <= SMALL) | (rank < HUBS), after, 0)
+    ends = np.cumsum(after, dtype=np.int64)
+    at = 0
+    while at < len(tid):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+        count = after[at:upto]
+        x = np.repeat(np.arange(at, upto), count)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count)
+        able = (root[x] != root[y]) & (9 * np.minimum(left[x], left[y]) >= 4 * (n[x] + n[y]))  # J >= 4/5: 9 * common >= 4 * both
+        u, v = np.minimum(tid[x], tid[y])[able], np.maximum(tid[x], tid[y])[able]
+        pairs = np.unique(np.stack([u, v], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+        at = upto
+
+
+def _pairs(members: DataFrame, hubs: bool) -> DataFrame:
+    """Distinct candidate pairs ``u``, ``v`` of buckets given as sorted ``members`` (tid, n, left, root)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _pairs_of(batch, hubs)
 
-    plain = docs.select(F.col(key).cast("string").alias("key"), F.xxhash64(body).alias("tid"), body.cast("binary").alias("body"))
-    rows, _ = stage(plain.mapInPandas(run, "key string, tid long, fps array<long>"), "copy-sketches")
-    texts = rows.groupBy("tid").agg(F.first("fps").alias("fps"))
-    pairs, _ = stage(_candidates(texts), "copy-candidates")
+    columns = members.select(*(F.col(f"members.{c}").alias(c) for c in ("tid", "n", "left", "root")))
+    return columns.mapInArrow(run, "u long, v long").distinct()
+
+
+def _alike(plain: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` whose exact similarity suffices."""
+    pairs, _ = stage(pairs, "copy-candidates")
     nodes = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "tid")
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,11 +128,44 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")
 
-    one = plain.select("tid", "body").join(nodes, "tid", "left_semi").mapInPandas(shingles, "tid long, shingles binary")
+    one = plain.join(nodes, "tid", "left_semi").select("tid", "body").mapInPandas(shingles, "tid long, shingles binary")
     sets, _ = stage(one.groupBy("tid").agg(F.first("shingles").alias("shingles")), "copy-shingles")
     left, right = (sets.select(F.col("tid").alias(n), F.col("shingles").alias(f"s{n}")) for n in "uv")
     alike = pairs.join(left, "u").join(right, "v").where(jaccard("su", "sv") >= SIMILARITY).select("u", "v")
-    roots = connected(alike)
+    return stage(alike, "copy-links")[0]
+
+
+def _roots(plain: DataFrame, rows: DataFrame) -> DataFrame:
+    """``u``, ``root`` of every text that verified links join to another one."""
+    texts = rows.groupBy("tid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    entries = texts.select("tid", "n", F.posexplode("prefix").alias("i", "h")).select("h", "tid", "n", (F.col("n") - F.col("i")).alias("left"))
+    gather = lambda table: table.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("tid", "n", "left", "root"))).alias("members"))
+    shared = gather(entries.withColumn("root", F.col("tid"))).where(F.size("members") > 1)
+    buckets, _ = stage(shared, "copy-buckets")
+    links = _alike(plain, _pairs(buckets, True))
+    roots = connected(links)
+    large = buckets.where(F.size("members") > SMALL).select("h", F.explode("members").alias("m")).select("h", "m.tid", "m.n", "m.left")
+    rooted = large.join(roots, large["tid"] == roots["u"], "left").select("h", "tid", "n", "left", F.coalesce("root", "tid").alias("root"))
+    apart = gather(rooted).where(F.array_min("members.root") < F.array_max("members.root"))
+    more = _alike(plain, _pairs(apart, False))
+    return roots if more.isEmpty() else connected(links.union(more))
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` without all but the least ``key`` of each group."""
+    body = F.coalesce(F.col(text), F.lit(""))
+
+    plain = docs.select(F.col(key).cast("string").alias("key"), F.xxhash64(body).alias("tid"), body.cast("binary").alias("body"))
+    common, times = _common(plain)
+    order = docs.sparkSession.sparkContext.broadcast((common, times))  # 3 MB at most
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [prefix(shingle_set(t), *order.value) for t in batch["body"]]
+            yield pd.DataFrame({"key": batch["key"], "tid": batch["tid"], "n": [n for n, _ in found], "prefix": [p for _, p in found]})
+
+    rows, _ = stage(plain.mapInPandas(run, "key string, tid long, n long, prefix array<long>"), "copy-prefixes")
+    roots = _roots(plain, rows)
     typed = F.col("key").cast(docs.schema[key].dataType)
     grouped = rows.join(roots, rows["tid"] == roots["u"], "left").select(F.coalesce("root", "tid").alias("root"), typed.alias("key"), "tid")
     counted = grouped.groupBy("root", "key", "tid").agg(F.count("*").alias("n"))

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -89,3 +90,27 @@ def test_stages(staged):
 def test_few_toxic_texts_stay(staged):
     toxic, kept = staged
     assert len(toxic & kept) <= 0.1 * len(toxic)
+
+
+def kept_of(spark, texts):
+    return nearcopies.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+
+
+def words(rnd, n):
+    return [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+
+
+def test_groups_that_only_their_originals_hold_together(spark):
+    """Members match the original at 0.8 or more and each other hardly ever, so a link with any other root fails."""
+    rnd = random.Random(5)
+    texts = []
+    for _ in range(12):
+        original = words(rnd, 400)
+        for _ in range(15):
+            changed = list(original)
+            for i in rnd.sample(range(400), 8):
+                changed[i] = f"x{rnd.randrange(10**6)}"
+            texts.append(" ".join(changed))
+        texts.append(" ".join(original))
+    root = groups(set(texts))
+    assert len(kept_of(spark, texts)) == len(set(root.values()))
