@@ -114,3 +114,18 @@ def test_groups_that_only_their_originals_hold_together(spark):
         texts.append(" ".join(original))
     root = groups(set(texts))
     assert len(kept_of(spark, texts)) == len(set(root.values()))
+
+
+def test_every_near_copy_is_found(spark):
+    """Appended passages at 0.80 to 0.85 and repeated lines, each pair a group of its own."""
+    rnd = random.Random(6)
+    texts = []
+    for k in range(150):
+        base = words(rnd, 300)
+        texts += [" ".join(base), " ".join(base + words(rnd, 54 + k % 20))]
+    for _ in range(20):
+        lines = [" ".join(words(rnd, 12)) for _ in range(30)]
+        texts += ["\n".join(lines), "\n".join(lines + lines[:1] * 400)]
+    root = groups(set(texts))
+    assert len(set(root.values())) == 170
+    assert len(kept_of(spark, texts)) == 170
