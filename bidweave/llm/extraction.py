@@ -39,8 +39,17 @@ BLOCK_ELEMENTS = frozenset(
     " tbody td tfoot th thead title tr ul".split()
 )
 VOID_ELEMENTS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_ELEMENTS = frozenset("script style textarea noscript iframe noframes noembed xmp template svg math object".split())
-DROPPED_ELEMENTS = RAW_ELEMENTS | frozenset("head title form button select option input label fieldset audio video canvas map dialog".split())
+RAW_ELEMENTS = frozenset("script style textarea noscript iframe noframes noembed xmp".split())
+#: Elements of other vocabularies, where "/>" ends any element, and those in them that hold HTML again.
+FOREIGN_ELEMENTS = frozenset("svg math".split())
+HTML_AGAIN = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+#: An opening one of these ends an open svg or math.
+ENDS_FOREIGN = frozenset(
+    "b blockquote body center code dd div dl dt em h1 h2 h3 h4 h5 h6 head hr i img li menu ol p pre s small span strong sub sup table u ul article aside footer header main nav section".split()
+)
+#: An end tag of these also ends what is left open in them.
+ENCLOSING = frozenset("svg math template object".split())
+DROPPED_ELEMENTS = RAW_ELEMENTS | frozenset("svg template object annotation annotation-xml head title form button select option input label fieldset audio video canvas map dialog".split())
 BOILERPLATE_ELEMENTS = frozenset("nav footer header aside menu search".split())
 CONTENT_ELEMENTS = frozenset("article main".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar alert dialog alertdialog status".split())
@@ -64,11 +73,12 @@ SENTENCE = re.compile(r"[.!?…。](?:\s|$)")
 
 
 class Element:
-    __slots__ = ("name", "parent", "depth", "dropped", "boilerplate", "content", "link")
+    __slots__ = ("name", "parent", "depth", "dropped", "boilerplate", "content", "link", "foreign")
 
     def __init__(self, name: str, parent: Element | None, attributes: str = ""):
         self.name, self.parent = name, parent
         self.depth = parent.depth + 1 if parent else 0
+        self.foreign = (name in FOREIGN_ELEMENTS or bool(parent and parent.foreign)) and name not in HTML_AGAIN
         self.link = name == "a" or bool(parent and parent.link)
         self.dropped = name in DROPPED_ELEMENTS or bool(parent and parent.dropped)
         self.boilerplate = name in BOILERPLATE_ELEMENTS or bool(parent and parent.boilerplate)
@@ -98,7 +108,7 @@ def _opened_in(here: Element, name: str) -> Element:
     """The element that a new ``name`` opens in, once it has ended what cannot hold it."""
     if name in BLOCK_ELEMENTS:
         up = here
-        while up.parent and (up.name == "p" or up.name not in BLOCK_ELEMENTS):
+        while up.parent and up.name not in ENCLOSING and (up.name == "p" or up.name not in BLOCK_ELEMENTS):
             up = up.parent
             if up.name == "p":
                 here = up.parent
@@ -107,18 +117,25 @@ def _opened_in(here: Element, name: str) -> Element:
             here = here.parent
     if name in CLOSED_BY:
         up, ends = here, CLOSED_BY[name].split()
-        while up.parent and up.name not in SCOPES:
+        while up.parent and up.name not in SCOPES and up.name not in ENCLOSING:
             if up.name in ends:
                 here = up.parent
             up = up.parent
     return here
 
 
+def _outside(here: Element) -> Element:
+    """The element that the open svg or math stands in."""
+    while here.foreign and here.parent:
+        here = here.parent
+    return here
+
+
 def _closed(here: Element, name: str) -> Element:
     """Where an end tag leads; one that ends nothing changes nothing."""
     up = here
     while up.parent and up.name != name:
-        if name not in BLOCK_ELEMENTS and up.name in BLOCK_ELEMENTS or name == "p" and up.name in BLOCK_ELEMENTS:
+        if name not in BLOCK_ELEMENTS and name not in ENCLOSING and up.name in BLOCK_ELEMENTS or name == "p" and up.name in BLOCK_ELEMENTS:
             return here
         up = up.parent
     return up.parent or here
@@ -155,17 +172,23 @@ def blocks(html: str) -> list[TextBlock]:
         name = (tag[2] or "").lower()
         if not name:
             continue
-        if name in BLOCK_ELEMENTS:
+        while here.foreign and name in ENDS_FOREIGN and not tag[1]:
+            here = here.parent
+        if here.foreign and not tag[1] and tag[3].endswith("/"):
+            continue
+        if name in BLOCK_ELEMENTS and not here.foreign:
             end_block()
         elif name == "br":
             add(" ")
         if tag[1]:
+            if here.foreign and name in BLOCK_ELEMENTS and _closed(here, name).depth < _outside(here).depth:
+                end_block()
             here = _closed(here, name)
         elif name in RAW_ELEMENTS:
             end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
             at = end.end() if end else len(html)
         elif name not in VOID_ELEMENTS and not (tag[3].endswith("/") and name not in BLOCK_ELEMENTS):
-            here = Element(name, _opened_in(here, name), tag[3])
+            here = Element(name, here if here.foreign else _opened_in(here, name), tag[3])
     add(html[at:])
     end_block()
     return out

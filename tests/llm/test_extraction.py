@@ -61,3 +61,18 @@ def test_awkward_pages(spark):
     assert len(got) <= len(rows) and (5, 20_000 * 7 - 1) in got and {(1, 0), (2, 0), (None, 0)} <= got
     assert extraction.extract(table.where("false")).collect() == []
     assert np.array_equal(extraction.train(table.where("false")), extraction.DEFAULT)
+
+
+def inside(article):
+    return extraction.main_text(f"<body><nav><ul><li><a href=x>Home</a></ul></nav><article>{article}</article><footer>end</footer>")
+
+
+def test_foreign_and_inert_elements():
+    text = "A first paragraph of the story, long enough. It goes on."
+    for icon in ('<svg class="i" />', "<math />", '<svg><path d="m"/><title>Icon</title></svg>', "<template><li>not this</template>", '<object data="x" />', "<svg><g>"):
+        page = f"<body><div>{icon}<a href=x>Menu</a></div><article><p>{text}</p><svg viewBox='0'><text>no</text></svg></article>"
+        assert extraction.main_text(page) == text, icon
+    assert inside(f"<p>{text} Here <svg><title>t</title><path/></svg>too.</p>") == f"{text} Here too."
+    assert inside(f"<p>{text} So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p>") == f"{text} So x=2 holds."
+    assert inside(f"<div><svg><g></div><p>{text}</p>") == text
+    assert inside(f"<p>{text}<object><p>old browser</object></p>") == text
