@@ -2,7 +2,7 @@
 
 A page becomes a row of text blocks with the elements they stand in. A logistic classifier of the
 block's text gives one cost for calling it content and one for calling it boilerplate; the elements'
-names and roles add theirs. These costs are the capacities to the two terminals. Blocks next to each
+names and roles add theirs, of which classes and ids have a bounded one that the nearest mark replaces. These costs are the capacities to the two terminals. Blocks next to each
 other, and blocks with the same parent, are tied by smoothness edges that weaken with the distance
 in the tree. The minimum cut is the labelling of least total cost.
 
@@ -31,6 +31,8 @@ ADJACENT = 1.0
 SIBLING = 1.0
 REACH = 2.0
 ELEMENT = 8.0
+ARTICLE = 5.0
+NAMED = 4.0
 
 # Elements of HTML by their part in a page.
 BLOCK_ELEMENTS = frozenset(
@@ -53,13 +55,15 @@ DROPPED_ELEMENTS = RAW_ELEMENTS | frozenset("svg template object annotation anno
 BOILERPLATE_ELEMENTS = frozenset("nav footer header aside menu search".split())
 CONTENT_ELEMENTS = frozenset("article main".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar alert dialog alertdialog status".split())
-#: Words in class or id that mark what is not the article.
-BOILERPLATE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|adslot|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w*"
+#: A class or id whose parts are all of these or of NEUTRAL_PARTS, one of these at least, marks what is not the article.
+BOILERPLATE_PARTS = re.compile(
+    r"ads?|adverts?|advertis\w*|adslot|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w*"
     r"|comments?|commentlist|replies|respond|disqus|discussion|sidebar|side|aside|widgets?|related|recommend\w*|trending|more|menu|nav|navbar|navigation|breadcrumbs?"
-    r"|pagination|pager|toc|header|masthead|topbar|footer|bottombar|copyright|legal|social|share|sharing|login|signup|search|form|tags?|skip|tools?|toolbar|hidden)(?:$|[\s_-]|\d)",
+    r"|pagination|pager|toc|header|masthead|topbar|footer|bottombar|copyright|legal|social|share|sharing|login|signup|search|form|tags?|skip|tools?|toolbar|hidden",
     re.I,
 )
+NEUTRAL_PARTS = frozenset("a an the and of to by in all area bar block box bottom boxes btn button buttons container grid group inner item items left links list outer panel posts right row rows section site slot stories top unit wrap wrapper".split())
+PART = re.compile(r"[_-]+|\d+")
 CONTENT_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|entry|post|story|main|text|body)(?:$|[\s_-])", re.I)
 #: An opening element ends an open one of these inside the same list, table or definition list.
 CLOSED_BY = {"li": "li", "dd": "dd dt", "dt": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
@@ -72,8 +76,18 @@ WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[.!?…。](?:\s|$)")
 
 
+def _named_boilerplate(names: str) -> bool:
+    """Whether a class or id of ``names`` says nothing but that it is not the article."""
+    for name in names.split():
+        parts = [p for p in PART.split(name) if p]
+        marks = [bool(BOILERPLATE_PARTS.fullmatch(p)) for p in parts]
+        if any(marks) and all(m or p.lower() in NEUTRAL_PARTS for m, p in zip(marks, parts)):
+            return True
+    return False
+
+
 class Element:
-    __slots__ = ("name", "parent", "depth", "dropped", "boilerplate", "content", "link", "foreign")
+    __slots__ = ("name", "parent", "depth", "dropped", "boilerplate", "mark", "link", "foreign")
 
     def __init__(self, name: str, parent: Element | None, attributes: str = ""):
         self.name, self.parent = name, parent
@@ -82,16 +96,21 @@ class Element:
         self.link = name == "a" or bool(parent and parent.link)
         self.dropped = name in DROPPED_ELEMENTS or bool(parent and parent.dropped)
         self.boilerplate = name in BOILERPLATE_ELEMENTS or bool(parent and parent.boilerplate)
-        self.content = name in CONTENT_ELEMENTS or bool(parent and parent.content)
+        self.mark = ARTICLE if name in CONTENT_ELEMENTS else parent.mark if parent else 0.0  # the nearest marks count
         if attributes and not attributes.isspace():
             self._read(attributes)
 
     def _read(self, attributes: str) -> None:
         given = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
         names, role = f"{given.get('class', '')} {given.get('id', '')}", given.get("role", "").lower()
+        article = self.name in CONTENT_ELEMENTS or role in ("main", "article")
+        story = bool(CONTENT_NAMES.search(names))
+        other = False
         if self.name not in ("html", "body"):
-            self.boilerplate |= bool(BOILERPLATE_NAMES.search(names)) or role in BOILERPLATE_ROLES
-        self.content |= bool(CONTENT_NAMES.search(names)) or role in ("main", "article")
+            self.boilerplate |= role in BOILERPLATE_ROLES
+            other = _named_boilerplate(names)
+        if article or story or other:
+            self.mark = (ARTICLE if article else NAMED if story else 0.0) - (NAMED if other else 0.0)
         bare = ATTRIBUTE.sub(" ", attributes).lower().split()
         unseen = HIDDEN_STYLE.search(given.get("style", ""))
         self.dropped |= "hidden" in bare or given.get("aria-hidden", "").lower() == "true" or bool(unseen)
@@ -293,7 +312,7 @@ def _apart(a: Element, b: Element) -> int:
 
 def content(found: list[TextBlock], weights: np.ndarray) -> list[bool]:
     text_gain = np.clip(np.array([features(b) for b in found]) @ weights, -3, 3)
-    gain = [g - ELEMENT if b.element.boilerplate else g + ELEMENT / 2 if b.element.content else g for g, b in zip(text_gain.tolist(), found)]
+    gain = [g - ELEMENT if b.element.boilerplate else g + b.element.mark for g, b in zip(text_gain.tolist(), found)]
     edges, last = [], {}
     for i, b in enumerate(found):
         if i:
@@ -302,7 +321,11 @@ def content(found: list[TextBlock], weights: np.ndarray) -> list[bool]:
         if parent in last:
             edges.append((last[parent], i, SIBLING))
         last[parent] = i
-    return minimum_cut(gain, edges)
+    kept = minimum_cut(gain, edges)
+    if any(kept) or all(b.element.mark >= 0 for b in found):
+        return kept
+    # names alone never empty a page
+    return minimum_cut([g + max(0.0, -b.element.mark) * (not b.element.boilerplate) for g, b in zip(gain, found)], edges)
 
 
 def main_text(html: str | None, weights: np.ndarray = DEFAULT) -> str:
@@ -320,8 +343,8 @@ def train(pages: DataFrame, html: str = "html", limit: int = SAMPLE_PAGES) -> np
             out = []
             for page in batch["html"]:
                 for b in blocks(page):
-                    if b.element.boilerplate or b.element.content:
-                        out.append((features(b), int(not b.element.boilerplate)))
+                    if b.element.boilerplate or b.element.mark:
+                        out.append((features(b), int(not b.element.boilerplate and b.element.mark > 0)))
             yield pd.DataFrame(out, columns=["x", "y"])
 
     sample = rows.join(F.broadcast(picked), "h", "left_semi").dropDuplicates(["h"]).select("html").mapInPandas(label, "x array<double>, y int").collect()

@@ -76,3 +76,16 @@ def test_foreign_and_inert_elements():
     assert inside(f"<p>{text} So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p>") == f"{text} So x=2 holds."
     assert inside(f"<div><svg><g></div><p>{text}</p>") == text
     assert inside(f"<p>{text}<object><p>old browser</object></p>") == text
+
+
+def test_names_of_wrappers_do_not_lose_the_article():
+    text = "\n".join(f"Paragraph {i} of the story is long enough to be read as such. It goes on for a while." for i in "abcd")
+    body = "".join(f"<p>{p}</p>" for p in text.split("\n"))
+    for name in ("post tag-news", "content has-sidebar", "social-studies", "legal-article", "page-with-side", "more-news"):
+        page = f'<body><nav><a href=x>Home</a></nav><div class="{name}">{body}</div><footer>end</footer>'
+        assert extraction.main_text(page) == text, name
+    for name in ("sidebar", "social"):  # alone on the page: text and smoothness outweigh the name
+        assert extraction.main_text(f'<nav><a href=x>Home</a></nav><div class="{name}"><div class="story">{body}</div></div>') == text
+        assert extraction.main_text(f'<nav><a href=x>Home</a></nav><div class="{name}">{body}</div>') == text
+    ad = '<div class="ad-box">Buy it now</div>'
+    assert extraction.main_text(f"<article>{body}</article>{ad}") == text
