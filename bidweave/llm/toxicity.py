@@ -10,7 +10,7 @@ Since the machine is linear in the kernel values, its weights are summed once fo
 and a token is scored by its own subsequences alone, without a pass over the landmarks.
 
 A sentence's margin is that of its most toxic token, a text's that of its most toxic sentence; runs
-of single letters count as one token, and a token of over WINDOW letters is read in overlapping
+of pieces of one or two letters count as one token, and a token of over WINDOW letters is read in overlapping
 windows. A logistic curve fitted to the training texts turns the margin into a probability.
 
 Fitted on FIT_DOCS labelled texts at most, of FIT_BYTES at most, picked by hash of the id; scoring
@@ -53,7 +53,9 @@ HELD_OUT_OF = 5
 MOST_KEPT = 250_000  # in each of two generations
 ALPHABET = 128
 EDGES = ".,;:!?\"'()[]{}<>«»„“”’…-–—*_|/\\~`"
-SINGLES = re.compile(rb"(?:(?<=\s)|^)\S(?:\s\S){2,}(?=\s|$)")
+#: Three or more pieces of one or two letters, and of one letter, with any white space between them.
+PIECES = re.compile(r"(?<!\S)\S{1,2}(?:\s+\S{1,2}(?!\S)){2,}")
+SINGLES = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
 
 _spans: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -104,7 +106,8 @@ def readings(token: str) -> list[str]:
     """What is scored of a token: its bare form and its letters alone, in windows where they are long."""
     bare = token.lower().strip(EDGES)
     forms = [f"{FIRST}{bare}{LAST}"]
-    if not bare.isalpha() and 2 * len(letters := "".join(filter(str.isalpha, bare))) > len(bare):
+    letters = bare if bare.isalpha() else "".join(filter(str.isalpha, bare))
+    if letters != bare and (len(letters) > ORDER or 2 * len(letters) > len(bare)):
         forms.append(f"{FIRST}{letters}{LAST}")
     return [f[a : a + WINDOW] for f in forms for a in range(0, max(1, len(f) - WINDOW + STRIDE), STRIDE)]
 
@@ -116,8 +119,9 @@ def disturbed(token: str) -> list[str]:
 
 
 def text_tokens(body: bytes) -> list[bytes]:
-    words = body.lower().split()
-    return words + [b"".join(m[0].split()) for m in SINGLES.finditer(body.lower())]
+    runs = PIECES.findall(body.lower().decode("utf-8", "replace"))
+    runs += [single for run in runs for single in SINGLES.findall(run) if single != run]
+    return body.lower().split() + ["".join(run.split()).encode() for run in runs]
 
 
 class Kernel:

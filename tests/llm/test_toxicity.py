@@ -78,3 +78,10 @@ def test_awkward_rows(spark, small_model, awkward, nothing):
     assert nothing.withColumn("score", toxicity.score(nothing, model)).collect() == []
     labels = spark.createDataFrame([(1, None), (None, 1), (3, 0)], "doc_id long, toxic int")
     assert toxicity.train(awkward, labels).probabilities([b"any"])[0] < 0.5
+
+
+def test_gaps_of_any_letters_and_width():
+    for text, insult in (("c r é t i n", "crétin"), ("on и д и о т on", "идиот"), ("that i  d  i \n o\tt there", "idiot"), ("id io t", "idiot"), ("the i d i o t of", "idiot")):
+        assert insult in {t.decode() for t in toxicity.text_tokens(text.encode())}, text
+    assert f"{toxicity.FIRST}idiot{toxicity.LAST}" in toxicity.readings("i##d##i##o##t")
+    assert toxicity.text_tokens(b"an idiot") == [b"an", b"idiot"]
