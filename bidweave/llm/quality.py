@@ -32,7 +32,8 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("spelling", "10 * (word_chars - n_letters) <= word_chars", "100 * (word_chars - n_letters) > 18 * word_chars"),
     ("lines", "n_dup_lines = 0", "4 * n_dup_lines > n_lines"),
     ("repeats", "20 * n_repeat_words <= n_words", "5 * n_repeat_words > n_words"),
-    ("variety", "5 * n_distinct >= n_words or n_words > 4000", "10 * n_distinct < n_words and n_words <= 4000"),
+    # a fifth and a tenth of the words up to 4,000 of them, from there on in proportion to the root of their number
+    ("variety", "5 * n_distinct >= n_words or n_words > 4000 and n_distinct * n_distinct >= 160 * n_words", "10 * n_distinct < n_words and (n_words <= 4000 or n_distinct * n_distinct < 40 * n_words)"),
     ("stops", "n_stops between n_words / 80 and n_words / 3", "n_stops = 0 and n_words >= 20 or n_stops > n_words / 2"),
     ("capitals", "5 * n_capitals <= word_chars", "2 * n_capitals > word_chars"),
 )

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -35,3 +36,12 @@ def test_failed_rows_are_not_kept(docs):
     assert not any(r["kept"] and r["base_failed"] for r in rows) and all(0 <= r["quality"] <= 1 for r in rows)
     kept = {r["doc_id"] for r in quality.keep_good(docs).collect()}
     assert kept == {r["doc_id"] for r in rows if r["kept"]}
+
+
+def test_variety_does_not_switch_with_length(spark):
+    few, many = [f"w{i}" for i in range(100)], [f"w{i}" for i in range(9000)]
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(few) for _ in range(n)) for n in (3999, 4000, 4001, 20_000)] + [" ".join(rnd.choice(many) for _ in range(n)) for n in (4000, 4001, 20_000)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    votes = {r["doc_id"]: r["vote_variety"] for r in quality.votes(quality.features(table)).collect()}
+    assert [votes[i] for i in range(len(texts))] == [-1] * 4 + [1] * 3
