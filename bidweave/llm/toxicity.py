@@ -42,11 +42,11 @@ LANDMARKS = 96
 CLEAN_LANDMARKS = 24
 WINDOW, STRIDE = 24, 12
 FIRST, LAST = "\x02", "\x03"  # the ends of a token are letters too: a stem is not the words that start with it
-FIT_DOCS = 5_000
+FIT_DOCS = 6_000
 FIT_BYTES = 100_000
 CLEAN_TOKENS = 6_000
 HARD_TOKENS = 1_500
-ROUNDS = 3
+ROUNDS = 4
 CHANCE = 0.15
 MARGIN_COST = 10.0
 HELD_OUT_OF = 5
@@ -335,9 +335,10 @@ def held_out(key: str) -> Column:
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", limit: int = FIT_DOCS) -> Model:
     """Fit on the labelled texts that are not held out."""
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")).where(F.col("key").isNotNull() & F.col("y").isin(0, 1) & ~held_out("key"))
-    known = known.groupBy("key").agg(F.max("y").alias("y")).orderBy(F.xxhash64("key"), "key").limit(limit)
+    known = known.groupBy("key").agg(F.max("y").alias("y"))
     texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body")).where(F.octet_length("body") <= FIT_BYTES)
-    rows = texts.join(F.broadcast(known), "key").select("body", "y").dropDuplicates(["body"]).limit(2 * limit).collect()
+    usable = texts.select("key").join(known, "key").distinct().orderBy(F.xxhash64("key"), "key").limit(limit)
+    rows = texts.join(F.broadcast(usable), "key").select("body", "y").dropDuplicates(["body"]).limit(2 * limit).collect()
     rows.sort(key=lambda r: bytes(r["body"]))
     return fit([bytes(r["body"]) for r in rows], [r["y"] for r in rows])
 

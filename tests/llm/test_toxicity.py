@@ -85,3 +85,12 @@ def test_gaps_of_any_letters_and_width():
         assert insult in {t.decode() for t in toxicity.text_tokens(text.encode())}, text
     assert f"{toxicity.FIRST}idiot{toxicity.LAST}" in toxicity.readings("i##d##i##o##t")
     assert toxicity.text_tokens(b"an idiot") == [b"an", b"idiot"]
+
+
+def test_labels_without_usable_texts_use_up_no_places(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda bodies, y: seen.extend(bodies))
+    docs = spark.createDataFrame([(i, f"text {i}" if i % 2 else "long " * 30_000) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3 % 2) for i in range(1000)], "doc_id long, toxic int")
+    toxicity.train(docs, labels, limit=40)
+    assert len(seen) == 40
