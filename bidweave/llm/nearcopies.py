@@ -1,68 +1,96 @@
 """One document of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more.
 
-Candidates come from an exact prefix filter. The shingles of every text are put into one global order,
-those that a sample of texts shares often coming last. Of two texts as alike as this, each holds their
-first common shingle among its first fifth, and so early that what follows in either can still make up
-the common part; so texts meet in the bucket of every such shingle, and no pair is missed. The sample
-decides on the cost alone, since any order gives the same pairs.
-
-Texts that share much would give the square of their number. A bucket of over SMALL texts therefore
-first links its HUBS least texts with all others; each link is held to the exact similarity of the two
-shingle sets, and only then every pair is tested whose ends no verified links have joined. Equal texts
-are one node from the start, so copies are never compared.
+Every text gets a SimHash of its distinct shingles. The self-join of the binary trie of fingerprints
+(``neardup.links``) names texts that are very close, but at a similarity of 0.8 two fingerprints lie
+ten bits apart on the mean, which no trie prunes. So its links are only the first candidates, and an
+exact prefix filter adds the others: the shingles of every text are put into one global order, those
+that a sample of texts shares often coming last. Of two texts as alike as this, each holds their
+first common shingle among its first fifth, and so early that what follows in either can still make
+up the common part; so texts meet in the bucket of every such shingle, and no pair is missed. The
+sample decides on the cost alone, since any order gives the same pairs.
+
+Candidates are held to a parity sketch first: of each text, one bit for each of at least 4 n buckets
+says whether an odd number of shingles falls there. Buckets that differ never outnumber the shingles
+that differ, so no pair of 0.8 fails. What is left is held to the exact similarity of the texts, but
+of several candidates that would join two groups only one at a time: each group tests one candidate,
+those that pass are merged, and rounds go on until every candidate is inside a group or refuted.
+
+Texts that share much would give the square of their number. So each text first meets the hub of its
+buckets alone (the text with most shared shingles: an original has more than its altered copies), and
+only then every pair of a bucket is tested whose ends are still in two groups. Equal texts are one
+node from the start, so copies are never compared.
 
 Edge cases: null and empty texts are copies of each other; texts of fewer than five words are one
 shingle; of rows equal in id and text one stays; ids that are null come after all others when the
-document to keep is chosen; an empty table gives an empty result; all columns are kept, and the
-working columns' names are dropped from none of them.
+document to keep is chosen; an empty table gives an empty result; all columns are kept, whatever
+their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected
-from .neardup import SEED, _digests
-from .staging import stage
+from .neardup import BITS, SEED, _digests, _majority, links
+from .staging import scratch, stage
 
 SHINGLE = 5
 SIMILARITY = 0.8
 ORDER_TEXTS = 10_000  # sampled for the order of shingles
 COMMON = 4  # a shingle of that many sampled texts comes after rarer ones
 MOST_COMMON = 200_000
-SMALL = 8
-HUBS = 4
-PAIRS_AT_ONCE = 1 << 20
+BUCKETS_A_SHINGLE = 4
+HUB_ROWS = 2_000  # of a much tested text, candidates in one task's share
+MOST_HUBS = 100_000  # such texts are broadcast (16 bytes each) up to this number
 
 
-def shingle_set(text: bytes | None) -> bytes:
-    return np.unique(np.frombuffer(_digests(text, SHINGLE, SEED), ">u8").astype("<u8")).tobytes()
+def shingle_set(text: bytes | None) -> np.ndarray:
+    """Distinct shingles of a text, hashed, in order."""
+    return np.unique(np.frombuffer(_digests(text, SHINGLE, SEED), ">u8").astype("<u8"))
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
     if not len(x) and not len(y):
         return 1.0
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both)
 
 
-def prefix(shingles: bytes, common: np.ndarray, times: np.ndarray) -> tuple[int, np.ndarray]:
-    """Number of shingles, and the first fifth of them (and one) in the global order; no shingle counts as zero."""
-    h = np.frombuffer(shingles, "<i8")
+def prefix(shingles: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The first fifth of the shingles (and one) in the global order; of none, a zero."""
+    h = shingles.view("<i8")
     if not len(h):
-        return 0, np.zeros(1, np.int64)
+        return np.zeros(1, np.int64)
     seen = np.zeros(len(h), np.int64)
     if len(common):
         at = np.minimum(np.searchsorted(common, h), len(common) - 1)
         seen = np.where(common[at] == h, times[at], 0)
-    return len(h), h[np.lexsort((h, seen))[: len(h) // 5 + 1]]
+    return h[np.lexsort((h, seen))[: len(h) // 5 + 1]]
+
+
+def parity(shingles: np.ndarray) -> bytes:
+    """One bit for each bucket: whether an odd number of shingles falls there."""
+    buckets = 64
+    while buckets < BUCKETS_A_SHINGLE * len(shingles):
+        buckets *= 2
+    at = (shingles & np.uint64(buckets - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=buckets).astype(np.uint8) & 1).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Buckets of odd difference, over as many as the smaller sketch has."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _common(plain: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -72,111 +100,155 @@ def _common(plain: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for body in batch["body"]:
-                yield pd.DataFrame({"h": np.frombuffer(shingle_set(body), "<i8")})
+                yield pd.DataFrame({"h": shingle_set(body).view("<i8")})
 
-    sample = plain.where(F.pmod("tid", F.lit(every)) == 0).dropDuplicates(["tid"]).select("body")
+    sample = plain.where(F.pmod(F.xxhash64("digest"), F.lit(every)) == 0).dropDuplicates(["digest"]).select("body")
     counted = sample.mapInPandas(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     top = counted.orderBy(F.desc("n"), "h").limit(MOST_COMMON).toPandas().sort_values("h")
     return top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
 
 
-def _pairs_of(batch: pa.RecordBatch, hubs: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of each bucket that may be alike; with ``hubs``, of a large one only those with its hubs."""
-    flat = lambda name: batch.column(name).flatten().to_numpy(zero_copy_only=False)
-    sizes = batch.column("tid").value_lengths().to_numpy(zero_copy_only=False)
-    tid, n, left, root = flat("tid"), flat("n"), flat("left"), flat("root")
-    size = np.repeat(sizes, sizes)
-    rank = np.arange(len(tid)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    after = size - rank - 1
-    if hubs:
-        after = np.where((size <= SMALL) | (rank < HUBS), after, 0)
-    ends = np.cumsum(after, dtype=np.int64)
-    at = 0
-    while at < len(tid):
-        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
-        count = after[at:upto]
-        x = np.repeat(np.arange(at, upto), count)
-        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count)
-        able = (root[x] != root[y]) & (9 * np.minimum(left[x], left[y]) >= 4 * (n[x] + n[y]))  # J >= 4/5: 9 * common >= 4 * both
-        u, v = np.minimum(tid[x], tid[y])[able], np.maximum(tid[x], tid[y])[able]
-        pairs = np.unique(np.stack([u, v], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
-        at = upto
-
-
-def _pairs(members: DataFrame, hubs: bool) -> DataFrame:
-    """Distinct candidate pairs ``u``, ``v`` of buckets given as sorted ``members`` (tid, n, left, root)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts(plain: DataFrame) -> DataFrame:
+    """One row for each distinct text: number, digest, shingles, fingerprint, prefix and parity sketch."""
+    order = plain.sparkSession.sparkContext.broadcast(_common(plain))  # 3 MB at most
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield from _pairs_of(batch, hubs)
+            sets = [shingle_set(t) for t in batch["body"]]
+            fp = np.array([_majority(s.astype(">u8").view(np.uint8).reshape(-1, BITS // 8)) for s in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"digest": batch["digest"], "n": list(map(len, sets)), "fp": fp, "prefix": [prefix(s, *order.value) for s in sets], "parity": list(map(parity, sets))})
 
-    columns = members.select(*(F.col(f"members.{c}").alias(c) for c in ("tid", "n", "left", "root")))
-    return columns.mapInArrow(run, "u long, v long").distinct()
+    made = plain.select("digest", "body").mapInPandas(run, "digest binary, n long, fp long, prefix array<long>, parity binary")
+    return made.dropDuplicates(["digest"]).withColumn("tid", F.monotonically_increasing_id())
 
 
-def _alike(plain: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` whose exact similarity suffices."""
-    pairs, _ = stage(pairs, "copy-candidates")
-    nodes = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "tid")
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct()
 
-    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"tid": batch["tid"], "shingles": [shingle_set(t) for t in batch["body"]]})
 
-    @F.pandas_udf("double")
-    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")
+def _trie_pairs(texts: DataFrame) -> DataFrame:
+    """Candidates by the trie of fingerprints; texts of one fingerprint are tied to the first of them."""
+    first, _ = stage(texts.groupBy("fp").agg(F.min("tid").alias("first")), "copy-classes")
+    near = links(first).join(first.toDF("u", "a"), "u").join(first.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    same = texts.select("tid", "fp").join(first, "fp").select(F.col("first").alias("u"), F.col("tid").alias("v"))
+    return near.union(same)
 
-    one = plain.join(nodes, "tid", "left_semi").select("tid", "body").mapInPandas(shingles, "tid long, shingles binary")
-    sets, _ = stage(one.groupBy("tid").agg(F.first("shingles").alias("shingles")), "copy-shingles")
-    left, right = (sets.select(F.col("tid").alias(n), F.col("shingles").alias(f"s{n}")) for n in "uv")
-    alike = pairs.join(left, "u").join(right, "v").where(jaccard("su", "sv") >= SIMILARITY).select("u", "v")
-    return stage(alike, "copy-links")[0]
 
+def _able(left: Column, n: Column, other_left: Column, other_n: Column) -> Column:
+    """Whether what follows a common shingle can make two texts alike enough: 9 common >= 4 (n + n)."""
+    return 9 * F.least(left, other_left) >= 4 * (n + other_n)
 
-def _roots(plain: DataFrame, rows: DataFrame) -> DataFrame:
-    """``u``, ``root`` of every text that verified links join to another one."""
-    texts = rows.groupBy("tid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    entries = texts.select("tid", "n", F.posexplode("prefix").alias("i", "h")).select("h", "tid", "n", (F.col("n") - F.col("i")).alias("left"))
-    gather = lambda table: table.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("tid", "n", "left", "root"))).alias("members"))
-    shared = gather(entries.withColumn("root", F.col("tid"))).where(F.size("members") > 1)
-    buckets, _ = stage(shared, "copy-buckets")
-    links = _alike(plain, _pairs(buckets, True))
-    roots = connected(links)
-    large = buckets.where(F.size("members") > SMALL).select("h", F.explode("members").alias("m")).select("h", "m.tid", "m.n", "m.left")
-    rooted = large.join(roots, large["tid"] == roots["u"], "left").select("h", "tid", "n", "left", F.coalesce("root", "tid").alias("root"))
-    apart = gather(rooted).where(F.array_min("members.root") < F.array_max("members.root"))
-    more = _alike(plain, _pairs(apart, False))
-    return roots if more.isEmpty() else connected(links.union(more))
 
+def _hub_pairs(shared: DataFrame) -> DataFrame:
+    """For each text the hub that it meets in most buckets."""
+    weights = shared.groupBy("tid").agg(F.count("*").alias("weight"))
+    weighed = shared.join(weights.hint("merge"), "tid")
+    hub = F.max(F.struct("weight", (-F.col("tid")).alias("minus"), "n", "left")).over(Window.partitionBy("h"))
+    met = weighed.withColumn("hub", hub).where((F.col("tid") != -F.col("hub.minus")) & _able(F.col("left"), F.col("n"), F.col("hub.left"), F.col("hub.n")))
+    voted = met.groupBy("tid", (-F.col("hub.minus")).alias("hub")).agg(F.count("*").alias("votes"))
+    best = voted.groupBy("tid").agg(F.max(F.struct("votes", (-F.col("hub")).alias("minus"))).alias("best"))
+    return _ordered(best.select((-F.col("best.minus")).alias("u"), F.col("tid").alias("v")))
 
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` without all but the least ``key`` of each group."""
-    body = F.coalesce(F.col(text), F.lit(""))
 
-    plain = docs.select(F.col(key).cast("string").alias("key"), F.xxhash64(body).alias("tid"), body.cast("binary").alias("body"))
-    common, times = _common(plain)
-    order = docs.sparkSession.sparkContext.broadcast((common, times))  # 3 MB at most
+def _bucket_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Every able pair of a bucket whose ends are in two groups."""
+    rooted = shared.join(roots.toDF("tid", "root").hint("merge"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    bucket = Window.partitionBy("h")
+    apart = rooted.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).where("low < high")
+    members, _ = stage(apart.select("h", "tid", "n", "left", "root"), "copy-apart")
+    a, b = (members.select("h", *(F.col(c).alias(f"{c}_{side}") for c in ("tid", "n", "left", "root"))) for side in "ab")
+    met = a.join(b.hint("merge"), "h").where((F.col("root_a") < F.col("root_b")) & _able(F.col("left_a"), F.col("n_a"), F.col("left_b"), F.col("n_b")))
+    return _ordered(met.select(F.col("tid_a").alias("u"), F.col("tid_b").alias("v")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _beside(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` with ``columns`` of both ends; a text in many pairs is dealt to several tasks."""
+    spread, _ = stage(pairs.groupBy("u").agg((F.count("*") / HUB_ROWS).cast("int").alias("shares")).where("shares > 0"), "copy-hubs")
+    if spread.count() <= MOST_HUBS:
+        spread = F.broadcast(spread)
+    dealt = pairs.join(spread, "u", "left").withColumn("share", F.pmod(F.hash("v"), 1 + F.coalesce("shares", F.lit(0))))
+    many = table.join(spread.withColumnRenamed("u", "tid"), "tid", "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(0)))))
+    right = table.select(F.col("tid").alias("v"), *(F.col(c).alias(f"{c}_v") for c in columns))
+    left = many.select(F.col("tid").alias("u"), "share", *(F.col(c).alias(f"{c}_u") for c in columns))
+    return dealt.join(right.hint("merge"), "v").join(left.hint("merge"), ["u", "share"])
+
+
+def _passing(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` that the parity sketches let through."""
+
+    @F.pandas_udf("long")
+    def apart(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([differing(x, y) for x, y in zip(a, b)], dtype="int64")
+
+    with_both = _beside(pairs, texts, "n", "parity")
+    return with_both.where(9 * apart("parity_u", "parity_v") <= F.col("n_u") + F.col("n_v")).select("u", "v")
+
+
+def _alike(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Those of ``pairs`` whose exact similarity suffices."""
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, own = None, None
         for batch in batches:
-            found = [prefix(shingle_set(t), *order.value) for t in batch["body"]]
-            yield pd.DataFrame({"key": batch["key"], "tid": batch["tid"], "n": [n for n, _ in found], "prefix": [p for _, p in found]})
-
-    rows, _ = stage(plain.mapInPandas(run, "key string, tid long, n long, prefix array<long>"), "copy-prefixes")
-    roots = _roots(plain, rows)
-    typed = F.col("key").cast(docs.schema[key].dataType)
-    grouped = rows.join(roots, rows["tid"] == roots["u"], "left").select(F.coalesce("root", "tid").alias("root"), typed.alias("key"), "tid")
-    counted = grouped.groupBy("root", "key", "tid").agg(F.count("*").alias("n"))
-    first = counted.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("late"), "key", "tid", "n")).alias("one"))
-    chosen, _ = stage(first.select(F.col("one.key").alias("_key"), F.col("one.tid").alias("_tid"), F.col("one.n").alias("_n")), "copy-kept")
-    tagged = docs.withColumn("_text_id", F.xxhash64(body))
-    match = tagged[key].eqNullSafe(chosen["_key"]) & (tagged["_text_id"] == chosen["_tid"])
-    columns = [F.col(c) for c in docs.columns]
-    kept = tagged.join(chosen.where("_n = 1"), match, "left_semi").select(*columns)
-    repeated = chosen.where("_n > 1")
-    if repeated.isEmpty():
-        return kept
-    again = tagged.join(repeated, match, "left_semi").dropDuplicates([key, "_text_id"]).select(*columns)
-    return kept.union(again)
+            keep = []
+            for u, a, b in zip(batch["u"], batch["body_u"], batch["body_v"]):
+                if u != known:
+                    known, own = u, shingle_set(a)
+                keep.append(similarity(own, shingle_set(b)) >= SIMILARITY)
+            yield batch.loc[keep, ["u", "v"]]
+
+    return _beside(pairs, bodies, "body").select("u", "v", "body_u", "body_v").mapInPandas(compare, "u long, v long")
+
+
+def _joined(pairs: DataFrame, bodies: DataFrame, found: list[DataFrame], roots: DataFrame) -> DataFrame:
+    """``roots`` once ``pairs`` have been tested, one for each group at a time, until each of them joins
+    nothing or has been refuted; the links that pass are added to ``found``."""
+    while True:
+        left, right = roots.toDF("u", "ru").hint("merge"), roots.toDF("v", "rv").hint("merge")
+        rooted = pairs.join(left, "u", "left").join(right, "v", "left").select("u", "v", F.coalesce("ru", "u").alias("ru"), F.coalesce("rv", "v").alias("rv"))
+        pairs, _ = stage(rooted.where("ru <> rv"), "copy-open")
+        if pairs.isEmpty():
+            return roots
+        ends = pairs.select("u", "v", F.col("ru").alias("r")).union(pairs.select("u", "v", F.col("rv").alias("r")))
+        picked, _ = stage(ends.groupBy("r").agg(F.min(F.struct("u", "v")).alias("p")).select("p.u", "p.v").distinct(), "copy-picked")
+        found.append(stage(_alike(picked, bodies), "copy-links")[0])
+        roots = connected(reduce(DataFrame.union, found))
+        pairs = pairs.join(picked, ["u", "v"], "left_anti").select("u", "v")
+
+
+def _roots(plain: DataFrame, texts: DataFrame) -> DataFrame:
+    """``tid``, ``root`` of every text that verified links join to another one."""
+    entries = texts.select("tid", "n", F.posexplode("prefix").alias("i", "h")).select("h", "tid", "n", (F.col("n") - F.col("i")).alias("left"))
+    several = entries.withColumn("size", F.count("*").over(Window.partitionBy("h"))).where("size > 1").drop("size")
+    shared, _ = stage(several, "copy-shared")
+    first, _ = stage(_passing(_ordered(_trie_pairs(texts).union(_hub_pairs(shared))), texts), "copy-candidates")
+    able = shared.select("tid").union(first.select("u")).union(first.select("v")).distinct()
+    wanted = texts.select("tid", "digest").join(able.hint("merge"), "tid", "left_semi")
+    bodies, _ = stage(plain.join(wanted.hint("merge"), "digest").dropDuplicates(["tid"]).select("tid", "body"), "copy-bodies")
+    found: list[DataFrame] = []
+    none = plain.sparkSession.createDataFrame([], "u long, root long")
+    roots = _joined(first, bodies, found, none)
+    more, _ = stage(_passing(_bucket_pairs(shared, roots), texts), "copy-candidates")
+    return _joined(more, bodies, found, roots).toDF("tid", "root")
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` without all but the least ``key`` of each group."""
+    own, body = F.col(f"row.`{key}`"), F.coalesce(F.col(f"row.`{text}`"), F.lit("")).cast("binary")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).withColumn("digest", F.unhex(F.md5(body)))
+    plain = rows.select("digest", body.alias("body"))
+    with scratch(docs.sparkSession) as keep:
+        texts, _ = stage(_texts(plain), "copy-texts")
+        roots = _roots(plain, texts)
+        named = texts.select("digest", "tid").join(roots.hint("merge"), "tid", "left").select("digest", F.coalesce("root", "tid").alias("root"))
+        counted = rows.select("digest", own.alias("key")).groupBy("digest", "key").agg(F.count("*").alias("n"))
+        least = F.min(F.struct(F.col("key").isNull().alias("late"), "key", "digest", "n")).alias("one")
+        first = counted.groupBy("digest").agg(least).join(named.hint("merge"), "digest").groupBy("root").agg(F.min("one").alias("one"))
+        chosen = keep(stage(first.select("one.key", "one.digest", "one.n"), "copy-kept"))
+    match = (rows["digest"] == chosen["digest"]) & own.eqNullSafe(chosen["key"])
+    kept = rows.join(chosen.where("n = 1").hint("merge"), match, "left_semi").select("row")
+    repeated = chosen.where("n > 1")
+    if not repeated.isEmpty():
+        again = rows.join(repeated.hint("merge"), match, "left_semi").groupBy("digest", own.alias("key")).agg(F.first("row").alias("row"))
+        kept = kept.union(again.select("row"))
+    return kept.select("row.*")

@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .staging import stage
+from .staging import scratch, stage
 
 BITS = 64
 SHINGLE = 3
 MAX_ERRORS = 2
 SEED = 42
-SUBTREE = 8192
+SUBTREE = 1 << 18
+LEAST_DEPTH = 3  # some subtrees for the tasks of a small table
 FRONTIER = 1 << 18
 LEAF_PRODUCT = 16
 
@@ -172,7 +173,7 @@ def dealt_subtrees(classes: DataFrame, depth: int, max_errors: int, *keep: str)
 
 def links(classes: DataFrame, max_errors: int = MAX_ERRORS) -> DataFrame:
     """Links ``u``, ``v`` between distinct fingerprints ``fp`` that join all those within the budget."""
-    depth = max(1, (classes.count() // SUBTREE).bit_length())
+    depth = max(LEAST_DEPTH, (classes.count() // SUBTREE).bit_length())
     dealt = dealt_subtrees(classes, depth, max_errors)
 
     def join(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -190,11 +191,12 @@ def links(classes: DataFrame, max_errors: int = MAX_ERRORS) -> DataFrame:
 
 def components(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = SHINGLE, max_errors: int = MAX_ERRORS) -> DataFrame:
     """``key``, ``fp`` and ``component_id`` (least ``key`` that links reach) of every row."""
-    marked, _ = stage(fingerprints(docs, text, key, width), "simhash")
-    classes, _ = stage(marked.groupBy("fp").agg(F.min(key).alias("first")), "simhash-classes")
-    roots = connected(links(classes, max_errors))
-    rooted = classes.join(roots, classes["fp"] == roots["u"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted, _ = stage(rooted, "simhash-roots")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(key, "fp", "component_id")
+    with scratch(docs.sparkSession) as keep:
+        marked, _ = stage(fingerprints(docs, text, key, width), "simhash")
+        classes, _ = stage(marked.groupBy("fp").agg(F.min(key).alias("first")), "simhash-classes")
+        roots = connected(links(classes, max_errors))
+        rooted = classes.join(roots, classes["fp"] == roots["u"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+        rooted, _ = stage(rooted, "simhash-roots")
+        least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+        named = rooted.join(least, "root").select("fp", "component_id")
+        return keep(stage(marked.join(named, "fp").select(key, "fp", "component_id"), "simhash-components"))

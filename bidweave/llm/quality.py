@@ -174,11 +174,10 @@ def score(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns.
+    """The rows of ``docs`` that are kept, with their own columns, in whatever number they come.
 
-    Verdicts come back by a row key (id and text digest), so rows with equal ids and other texts
-    are judged apart.
+    The rows travel beside their votes in one column, so a verdict needs no join to find its row and
+    no name of theirs can clash.
     """
-    key = docs.withColumn("_key", F.xxhash64(F.col("doc_id"), F.md5(F.coalesce(F.col(text), F.lit("")))))
-    bad = score(key, text, ("_key",)).where(~F.col("kept")).select("_key").distinct()
-    return key.join(bad, "_key", "left_anti").drop("_key")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text}`").alias("text"))
+    return score(rows, "text", ("row",)).where("kept").select("row.*")

@@ -7,6 +7,8 @@ folder named by ``spark.checkpoint.dir``; a lost executor then costs a reread, n
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,9 @@ LOCAL_DEFAULT = "/tmp/checkpoints"
 SPACE_CLASS = r"\x20\x09-\x0D"
 
 
+_scopes: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", "") or LOCAL_DEFAULT).rstrip("/")
 
@@ -30,6 +35,8 @@ def stage(df: DataFrame, label: str, codec: str = "zstd", partition_by: tuple[st
     spark = df.sparkSession
     path = new_path(spark, label)
     writer = df.write.option("compression", codec)
+    if _scopes:
+        _scopes[-1].append(path)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -40,5 +47,26 @@ def drop_stage(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[tuple[DataFrame, str]], DataFrame]]:
+    """Deletes, at its end, all tables staged inside it but those passed to the function it gives."""
+    kept: list[str] = []
+
+    def keep(staged: tuple[DataFrame, str]) -> DataFrame:
+        kept.append(staged[1])
+        return staged[0]
+
+    _scopes.append([])
+    try:
+        yield keep
+    finally:
+        for path in _scopes.pop():
+            if path in kept:
+                if _scopes:
+                    _scopes[-1].append(path)
+            else:
+                drop_stage(spark, path)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
