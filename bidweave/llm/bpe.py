@@ -1,11 +1,13 @@
 """Byte-level BPE with content-defined chunk reuse.
 
 A rolling hash over the last WINDOW bytes cuts each text where its content says so; equal passages
-of any documents therefore yield equal chunks, which a worker encodes once. Pieces that a cut has
-split are mended: from the last sure piece edge before a cut to the first one after it the text is
-encoded anew, and the window is widened by whole chunks until its two ends are token edges on both
-sides. A sure edge is a single space between two plain ASCII characters: no piece of the pattern
-reaches over it, whatever stands elsewhere.
+of any documents therefore yield equal chunks, which a worker encodes once. What a cut has split is
+mended: the text around it is encoded anew, over a window that reaches past a whole piece on either
+side which the neighbours have encoded themselves. If the new ids of both pieces agree with the
+neighbours' own exactly, the window takes the cut's place; if not, it is widened, in the end to the
+whole text. Windows begin and end at sure edges, a single space between two plain ASCII characters:
+no piece of the pattern reaches over one. A chunk with too few edges to be checked is joined to the
+next one before it is encoded.
 
 Edge cases: null and empty texts have no ids and decode to the empty text; the special token's own
 letters become its id, as in the library; texts without a cut or an edge are encoded whole; an empty
@@ -28,6 +30,7 @@ WINDOW_STEPS = 4  # the hash covers 2 ** WINDOW_STEPS bytes
 CUT_BITS = 9  # a chunk has 2 ** CUT_BITS bytes on the mean
 KEPT_BYTES = 64 << 20
 KEPT_WINDOWS = 200_000
+EDGES = 4  # edges kept of either end of a chunk: a window is widened so often before the whole text is encoded
 EDGE = re.compile(rb"(?<=[!-~]) (?=[!-~])")
 _GEAR = np.random.default_rng(20_240_229).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -47,31 +50,15 @@ def cut_points(body: bytes, cut_bits: int = CUT_BITS) -> list[int]:
 class Chunk:
     """Ids of a chunk, with its first and last sure edges as (bytes, tokens) from its start."""
 
-    __slots__ = ("ids", "first", "last")
-
-    def __init__(self, body: bytes, ids: list[int], lengths: list[int]):
-        self.ids, self.first, self.last = ids, None, None
-        head = EDGE.search(body)
-        if head is None:
-            return
-        want_first, want_last = head.start(), 0
-        tail = len(body)
-        while not (want_last := body.rfind(b" ", 0, tail)) == -1 and not EDGE.match(body, want_last):
-            tail = want_last
-        at = 0
-        for k, i in enumerate(ids):
-            if at == want_first:
-                self.first = (at, k)
-                break
-            at += lengths[i]
-        at = len(body)
-        for k in range(len(ids), 0, -1):
-            if at == want_last:
-                self.last = (at, k)
-                break
-            at -= lengths[ids[k - 1]]
-        if self.first is None or self.last is None:
-            self.first = self.last = None
+    __slots__ = ("ids", "heads", "tails")
+
+    def __init__(self, body: bytes, ids: list[int], lengths: np.ndarray):
+        self.ids = ids
+        at = [m.start() for m in EDGE.finditer(body)]
+        ends = np.concatenate([[0], np.cumsum(lengths[ids])])
+        token = np.searchsorted(ends, at)
+        edges = [(b, t) for b, t in zip(at, token.tolist()) if ends[t] == b]
+        self.heads, self.tails = edges[:EDGES], edges[-EDGES:]
 
 
 class ChunkEncoder:
@@ -88,7 +75,7 @@ class ChunkEncoder:
         alphabet = {c: b for b, c in _byte_letters().items()}
         assert set(alphabet) == set(pre_tokenizers.ByteLevel.alphabet())
         ranks = {bytes(alphabet[c] for c in token): i for token, i in self.library.get_vocab(with_added_tokens=False).items() if token not in special}
-        self.lengths = [0] * (max(ranks.values()) + 1)
+        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, i in ranks.items():
             self.lengths[i] = len(token)
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
@@ -102,8 +89,8 @@ class ChunkEncoder:
         text = body.decode()
         try:
             return self.fast.encode_ordinary(text)
-        except BaseException as e:  # the pattern's engine gives up on endless white space with a panic
-            if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+        except BaseException as e:  # the pattern's engine gives up on endless white space with a panic, which is no Exception
+            if type(e).__name__ != "PanicException":
                 raise
             return self.library.encode(text, add_special_tokens=False).ids
 
@@ -122,7 +109,7 @@ class ChunkEncoder:
             if len(self.windows) > KEPT_WINDOWS:
                 self.windows = {}
             found = self.plain(body)
-            if len(body) < 64:
+            if len(body) < 96:
                 self.windows[body] = found
         return found
 
@@ -131,24 +118,39 @@ class ChunkEncoder:
         cuts = cut_points(body)
         if not cuts:
             return self.plain(body)
-        out: list[int] = []
-        start = tail = 0  # the ids of body[:tail] are in out
-        for end in [*cuts, len(body)]:
-            piece = self.chunk(body[start:end])
-            last_chunk = end == len(body)
-            if start == 0:
-                if piece.last is not None:
-                    out += piece.ids[: piece.last[1]]
-                    tail = piece.last[0]
-            elif piece.first is not None:
-                out += self.window(body[tail : start + piece.first[0]])
-                if last_chunk:
-                    out += piece.ids[piece.first[1] :]
-                    return out
-                out += piece.ids[piece.first[1] : piece.last[1]]
-                tail = start + piece.last[0]
-            start = end
-        return out + self.window(body[tail:])
+        first = self.chunk(body[: cuts[0]])
+        out, sure = list(first.ids), [(0, 0), *first.tails]
+        start = seen = cuts[0]
+        edges = 0
+        for end in [*cuts[1:], len(body)]:
+            while edges < 2 and (edge := EDGE.search(body, seen, end)):
+                edges, seen = edges + 1, edge.end()
+            if edges == 2 or end == len(body):
+                if not self.mend(body, out, sure, start, end):
+                    return self.plain(body)
+                start, edges = end, 0
+            seen = end
+        return out
+
+    def mend(self, body: bytes, out: list[int], sure: list[tuple[int, int]], start: int, end: int) -> bool:
+        """Adds the ids of ``body[start:end]`` to ``out``, which holds those of what comes before, with
+        its last ``sure`` edges; False if no window agrees with both sides."""
+        own = self.chunk(body[start:end])
+        for reach in range(1, EDGES):
+            left, last = sure[max(0, len(sure) - 1 - reach)], sure[-1]
+            right = own.heads[reach] if len(own.heads) > reach else (end - start, len(own.ids))
+            before = out[left[1] : last[1]]
+            after = own.ids[own.heads[0][1] : right[1]] if own.heads else []
+            new = self.window(body[left[0] : start + right[0]])
+            if new[: len(before)] == before and new[len(new) - len(after) :] == after:
+                del out[left[1] :]
+                out += new
+                shift = len(out) - right[1]
+                out += own.ids[right[1] :]
+                known = [e for e in sure if e[0] <= left[0]] + [(start + b, t + shift) for b, t in sorted({*own.tails, right}) if t >= right[1] and start + b < end]
+                sure[:] = known[-2 * EDGES :]
+                return True
+        return False
 
     def encode(self, body: bytes) -> list[int]:
         if self.split is None:

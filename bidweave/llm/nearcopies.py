@@ -180,6 +180,7 @@ def _passing(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def apart(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([differing(x, y) for x, y in zip(a, b)], dtype="int64")
 
+    pairs, _ = stage(pairs, "copy-pairs")
     with_both = _beside(pairs, texts, "n", "parity")
     return with_both.where(9 * apart("parity_u", "parity_v") <= F.col("n_u") + F.col("n_v")).select("u", "v")
 

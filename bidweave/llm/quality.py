@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import SPACE_CLASS, stage
+from .staging import SPACE_CLASS, scratch, stage
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -165,11 +165,12 @@ def score(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     Documents that fail the base test are decided; the vote model is fitted to all the others.
     """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    judged, _ = stage(votes(features(docs, text, keep)).withColumn("base_failed", failed), "quality-votes")
     names = [f"vote_{name}" for name, _, _ in RULES]
-    open_cases = judged.where(~F.col("base_failed")).groupBy(*names).agg(F.count("*").cast("double").alias("weight"))
-    patterns, _ = stage(open_cases.coalesce(1), "quality-patterns")
-    out = judged.withColumn("quality", fit(patterns).posterior())
+    with scratch(docs.sparkSession) as kept:
+        judged = kept(stage(votes(features(docs, text, keep)).withColumn("base_failed", failed), "quality-votes"))
+        open_cases = judged.where(~F.col("base_failed")).groupBy(*names).agg(F.count("*").cast("double").alias("weight"))
+        patterns, _ = stage(open_cases.coalesce(1), "quality-patterns")
+        out = judged.withColumn("quality", fit(patterns).posterior())
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= THRESHOLD))
 
 

@@ -19,6 +19,10 @@ LOCAL_DEFAULT = "/tmp/checkpoints"
 SPACE_CLASS = r"\x20\x09-\x0D"
 
 
+#: While a table is written, this setting has Spark delete the shuffle files of its plan at the end; nobody
+#: runs that plan again, since all that follows reads the table.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _scopes: list[list[str]] = []
 
 
@@ -37,7 +41,12 @@ def stage(df: DataFrame, label: str, codec: str = "zstd", partition_by: tuple[st
     writer = df.write.option("compression", codec)
     if _scopes:
         _scopes[-1].append(path)
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -49,7 +58,7 @@ def drop_stage(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[tuple[DataFrame, str]], DataFrame]]:
-    """Deletes, at its end, all tables staged inside it but those passed to the function it gives."""
+    """Deletes, at its end and also after an error, all tables staged inside it but those passed to the function it gives."""
     kept: list[str] = []
 
     def keep(staged: tuple[DataFrame, str]) -> DataFrame:
@@ -68,5 +77,23 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[tuple[DataFrame, str]], D
                 drop_stage(spark, path)
 
 
+@contextmanager
+def noted(paths: list[str]) -> Iterator[None]:
+    """Adds to ``paths`` the tables staged inside that are still there at its end."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        paths += _scopes.pop()
+
+
+def drop_unread(spark: SparkSession, paths: list[str], table: DataFrame) -> None:
+    """Deletes, and takes out of the list, those of ``paths`` that ``table`` is not read from."""
+    files = table.inputFiles()
+    for path in [p for p in paths if not any(p in file for file in files)]:
+        paths.remove(path)
+        drop_stage(spark, path)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

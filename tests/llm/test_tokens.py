@@ -25,6 +25,32 @@ def test_chunks_encode_as_the_library():
         assert encoder.decode(want) == encoder.library.decode(want, skip_special_tokens=False)
 
 
+def test_joins_are_mended_until_they_agree(monkeypatch):
+    """With chunks of a few bytes every join matters; a chunk whose own ids are wrong near the join is
+    found out by comparing, and the window is widened past the damage."""
+    monkeypatch.setattr(bpe, "CUT_BITS", 4)
+    monkeypatch.setattr(bpe.cut_points, "__defaults__", (4,))
+    encoder = bpe.ChunkEncoder(vocabulary("byte_bpe_50k.json"))
+    windows = []
+    plain_window = encoder.window
+    encoder.window = lambda body: windows.append(len(body)) or plain_window(body)
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice(("the", "tion", "antidisestablishment", "don't", "x1y2", "über", "漢字", "a,b")) for _ in range(300)) for _ in range(30)]
+    for text in texts + mixed(60, 8):
+        assert encoder.encode(text.encode()) == encoder.library.encode(text, add_special_tokens=False).ids
+    assert windows
+    text = texts[0].encode()
+    want, narrow = encoder.encode(text), len(windows)
+    damaged = encoder.chunk(text[bpe.cut_points(text)[0] : bpe.cut_points(text)[-1]])
+    good = list(damaged.ids)
+    out, sure = list(encoder.chunk(text[: bpe.cut_points(text)[0]]).ids), [(0, 0)]
+    damaged.ids[damaged.heads[0][1]] += 1  # wrong before the second edge: the first window disagrees
+    assert not encoder.mend(text, out, sure, bpe.cut_points(text)[0], bpe.cut_points(text)[-1])
+    assert len(windows) == narrow + bpe.EDGES - 1
+    damaged.ids[:] = good
+    assert encoder.encode(text) == want
+
+
 def test_words_encode_as_the_library():
     encoder = wordtokens.WordEncoder(vocabulary("word_bpe_49k.json"))
     texts = mixed(300, 2)

@@ -43,3 +43,17 @@ def test_few_or_no_rows(spark):
     table = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     same(table, 100)
     assert topk.top_k(table.where("false"), F.col("vec_id") % 100 == 0).collect() == []
+
+
+def test_clustered_vectors_leave_annuli_shut(spark, monkeypatch):
+    """Far from its own cluster a query opens nothing: the bounds stop it, and the result stays whole."""
+    monkeypatch.setattr(topk, "ANNULUS", 16)
+    rnd = random.Random(3)
+    centres = [[rnd.gauss(0, 3) for _ in range(12)] for _ in range(20)]
+    rows = [(i, [x + rnd.gauss(0, 0.05) for x in centres[i % 20]]) for i in range(2000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    counts = []
+    got = topk.top_k(table, F.col("vec_id") % 50 == 0, counts=counts).collect()
+    assert sorted(map(tuple, got)) == sorted(brute(table.collect(), 50))
+    assert sum(n for n, _ in counts) < 0.3 * counts[0][1]
+    assert counts[-1][0] < counts[0][1]
