@@ -3,13 +3,15 @@
 The kernel of two tokens counts the ORDER-letter subsequences they share, each weighed by DECAY to
 the power of the letters it spans in either, and is normalised by length. An insult with letters
 put in between keeps most of its subsequences, so it stays near its plain form. Landmark tokens span
-the feature space (Nyström); a linear machine with squared hinge loss is trained there on sentences'
-tokens, as a multiple-instance problem: a toxic text has at least one toxic token, a clean text has
-none, and each round takes a toxic text's most toxic token under the machine of the round before.
+the feature space (Nyström): tokens that cover the toxic texts, usual clean tokens, and the clean
+tokens that a first machine takes for insults most easily. A linear machine with squared hinge loss
+is trained there as a multiple-instance problem: a labelled text is a bag of tokens, a toxic one has
+at least one toxic token, a clean one none, and each round takes a toxic text's most toxic token
+under the machine of the round before. Insults of several words are learned only by their words.
 Since the machine is linear in the kernel values, its weights are summed once for each subsequence,
 and a token is scored by its own subsequences alone, without a pass over the landmarks.
 
-A sentence's margin is that of its most toxic token, a text's that of its most toxic sentence; runs
+A text's margin is that of its most toxic token; runs
 of pieces of one or two letters count as one token, and a token of over WINDOW letters is read in overlapping
 windows. A logistic curve fitted to the training texts turns the margin into a probability.
 
@@ -38,8 +40,9 @@ from .wordtokens import by_bytes
 
 ORDER = 3
 DECAY = 0.7
-LANDMARKS = 96
+LANDMARKS = 72
 CLEAN_LANDMARKS = 24
+HARD_LANDMARKS = 64
 WINDOW, STRIDE = 24, 12
 FIRST, LAST = "\x02", "\x03"  # the ends of a token are letters too: a stem is not the words that start with it
 FIT_DOCS = 6_000
@@ -68,27 +71,33 @@ def _spans_of(length: int) -> tuple[np.ndarray, np.ndarray]:
     return _spans[length]
 
 
-def _letters(token: str) -> list[int]:
+def _letters(token: str) -> bytes:
     """Letter codes: ASCII and the Latin-1 lower-case letters have their own, others share by code point."""
-    return [c - 31 if 32 <= c < 127 else c - 128 if 224 <= c < 256 else c % (ALPHABET - 1) + 1 for c in map(ord, token)]
+    return bytes([c - 31 if 32 <= c < 127 else c - 128 if 224 <= c < 256 else c % (ALPHABET - 1) + 1 for c in map(ord, token)])
 
 
-def subsequences(tokens: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For tokens of each length: their indices, subsequence codes (row by token) and weights."""
-    by_length: dict[int, list[int]] = {}
-    for i, t in enumerate(tokens):
-        by_length.setdefault(len(t), []).append(i)
-    for length, index in by_length.items():
+def coded(tokens: Iterable[str]) -> np.ndarray:
+    """Letter codes of tokens of WINDOW letters at most; no code is zero."""
+    return np.array([_letters(t) for t in tokens], f"S{WINDOW}")
+
+
+def subsequences(tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For coded tokens of each length: their indices, subsequence codes (row by token) and weights."""
+    lengths = np.char.str_len(tokens)
+    letters = np.ascontiguousarray(tokens).view(np.uint8).reshape(-1, WINDOW)
+    for length in np.unique(lengths).tolist():
         if length < ORDER:
             continue
         at, weight = _spans_of(length)
+        index = np.flatnonzero(lengths == length)
         for a in range(0, len(index), 2048):
             part = index[a : a + 2048]
-            coded = np.array([_letters(tokens[i]) for i in part], np.int32)
+            own = letters[part, :length].astype(np.int32)
             codes = np.zeros((len(part), len(at)), np.int32)
             for k in range(ORDER):
-                codes = codes * ALPHABET + coded[:, at[:, k]]
-            yield np.array(part), codes, weight
+                codes *= ALPHABET
+                codes += own[:, at[:, k]]
+            yield part, codes, weight
 
 
 def self_kernel(codes: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -112,10 +121,11 @@ def readings(token: str) -> list[str]:
     return [f[a : a + WINDOW] for f in forms for a in range(0, max(1, len(f) - WINDOW + STRIDE), STRIDE)]
 
 
-def disturbed(token: str) -> list[str]:
-    """The token with one strange character put in at each place, and with each letter doubled."""
-    inner = range(2, len(token) - 1)
-    return [token[:i] + "\u0111" + token[i:] for i in inner] + [token[:i] + token[i - 1] + token[i:] for i in inner]
+def disturbed(token: bytes) -> list[bytes]:
+    """The coded token with one strange character put in at each place or in each letter's, and with each letter doubled."""
+    inner, strange = range(2, len(token) - 1), _letters("\u0111")
+    put_in = [token[:i] + strange + token[i:] for i in inner] + [token[:i] + token[i - 1 : i] + token[i:] for i in inner]
+    return put_in + [token[:i] + strange + token[i + 1 :] for i in inner if len(token) > 2 * ORDER]
 
 
 def text_tokens(body: bytes) -> list[bytes]:
@@ -127,7 +137,7 @@ def text_tokens(body: bytes) -> list[bytes]:
 class Kernel:
     """Normalised kernel values against landmarks."""
 
-    def __init__(self, landmarks: list[str]):
+    def __init__(self, landmarks: np.ndarray):
         self.landmarks = landmarks
         self.table = np.zeros(ALPHABET**ORDER, np.int32)
         known: dict[int, dict[int, float]] = {}
@@ -139,13 +149,13 @@ class Kernel:
                     own[i] = own.get(i, 0.0) + w / n
         self.codes = np.array(sorted(known), np.int64)
         self.table[self.codes] = np.arange(1, len(self.codes) + 1)
-        self.weights = np.zeros((len(self.codes) + 1, len(landmarks)))  # row 0: in no landmark
+        self.weights = np.zeros((len(self.codes) + 1, len(landmarks)), np.float32)  # row 0: in no landmark
         for r, code in enumerate(self.codes.tolist(), 1):
             for i, w in known[code].items():
                 self.weights[r, i] = w
 
-    def values(self, tokens: list[str]) -> np.ndarray:
-        out = np.zeros((len(tokens), len(self.landmarks)))
+    def values(self, tokens: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(tokens), len(self.landmarks)), np.float32)
         for index, codes, weight in subsequences(tokens):
             norm = np.sqrt(self_kernel(codes, weight))
             rows = self.table[codes]
@@ -177,15 +187,18 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int =
 
 
 def logistic(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset of the probability of label 1, with targets drawn in from 0 and 1."""
+    """Slope and offset of the probability of label 1, with targets drawn in from 0 and 1; the
+    rarer label weighs more by the root of its rarity: unweighed, the few toxic texts are called clean up to
+    margins far above zero, and weighed to balance, too many clean texts are called toxic."""
     n1, n0 = (y == 1).sum(), (y == 0).sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    weight = np.where(y == 1, (n0 / max(1, n1)) ** 0.5, 1.0)
     x = np.stack([margin, np.ones(len(margin))], 1)
     w = np.array([1.0, 0.0])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (target - p))
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
+        step = np.linalg.solve(h, x.T @ (weight * (target - p)))
         w = w + step * min(1.0, 5 / max(1e-9, float(np.abs(step).max())))
     return float(w[0]), float(w[1])
 
@@ -198,10 +211,11 @@ class Model:
         self.kept: dict[bytes, float] = {}
         self.older: dict[bytes, float] = {}
 
-    def token_margins(self, tokens: list[str]) -> np.ndarray:
+    def token_margins(self, tokens: np.ndarray, norms: np.ndarray | None = None) -> np.ndarray:
+        """Margins of coded tokens, whose ``norms`` may be known."""
         out = np.full(len(tokens), self.bias)
         for index, codes, weight in subsequences(tokens):
-            out[index] += self.table[codes] @ weight / np.sqrt(self_kernel(codes, weight))
+            out[index] += self.table[codes] @ weight / (np.sqrt(self_kernel(codes, weight)) if norms is None else norms[index])
         return out
 
     def _learn(self, tokens: Iterable[bytes]) -> None:
@@ -211,7 +225,7 @@ class Model:
         tokens = [t for t in tokens if t not in self.older]
         read = [readings(t.decode("utf-8", "replace")) for t in tokens]
         flat = [r for own in read for r in own]
-        margin = self.token_margins(flat)
+        margin = self.token_margins(coded(flat))
         at = 0
         for token, own in zip(tokens, read):
             self.kept[token] = float(margin[at : at + len(own)].max())
@@ -233,24 +247,29 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * m + self.offset, -30, 30)))
 
 
-def pick_landmarks(sets: list[set[str]], y: list[int], toxic: int, clean: int) -> tuple[list[str], int]:
-    """Tokens that together cover the toxic texts (their number comes second), then usual clean ones."""
-    in_clean, in_toxic = Counter(), Counter()
-    for s, label in zip(sets, y):
-        (in_toxic if label else in_clean).update(s)
-    n1, n0 = max(1, sum(y)), max(1, len(y) - sum(y))
+def norms_of(tokens: np.ndarray) -> np.ndarray:
+    out = np.ones(len(tokens), np.float32)
+    for index, codes, weight in subsequences(tokens):
+        out[index] = np.sqrt(self_kernel(codes, weight))
+    return out
+
+
+def pick_landmarks(owners: list[np.ndarray], in_toxic: np.ndarray, in_clean: np.ndarray, long: np.ndarray, n1: int, n0: int, most: int) -> list[int]:
+    """Tokens that together cover the toxic texts, of which ``owners`` holds the tokens."""
     # of tokens that c texts hold, p ** c would be found in toxic texts alone by chance
-    by_count = Counter((in_toxic + in_clean).values())
-    alone = Counter(c for t, c in in_toxic.items() if not in_clean[t])
-    chance = {c: by_count[c] * (n1 / (n1 + n0)) ** c / k for c, k in alone.items()}
-    able = {t for t, c in in_toxic.items() if len(t) > ORDER and c >= 2 and (chance[c] < CHANCE if not in_clean[t] else c >= 10 and c / n1 > 30 * in_clean[t] / n0)}
-    left = [(1.0, sorted(able & s)) for s, label in zip(sets, y) if label]
+    by_count = np.bincount(in_toxic + in_clean)
+    alone = np.bincount(in_toxic[in_clean == 0], minlength=len(by_count))
+    chance = by_count * (n1 / (n1 + n0)) ** np.arange(len(by_count)) / np.maximum(1, alone)
+    only = (in_clean == 0) & (chance[in_toxic] < CHANCE)
+    mostly = (in_clean > 0) & (in_toxic >= 10) & (in_toxic / n1 > 30 * in_clean / n0)
+    able = long & (in_toxic >= 2) & (only | mostly)
+    left = [(1.0, own[able[own]].tolist()) for own in owners]
     gain = Counter()
     for w, own in left:
         for t in own:
             gain[t] += w
-    out: list[str] = []
-    while gain and len(out) < toxic:
+    out: list[int] = []
+    while gain and len(out) < most:
         best = min(gain, key=lambda t: (-gain[t], t))
         out.append(best)
         del gain[best]
@@ -260,8 +279,61 @@ def pick_landmarks(sets: list[set[str]], y: list[int], toxic: int, clean: int) -
                     if t in gain:
                         gain[t] -= w / 2
                 left[k] = (w / 2, own)
-    usual = sorted((t for t in in_clean if ORDER < len(t) and t not in out), key=lambda t: (-in_clean[t], t))
-    return out + usual[:clean], len(out)
+    return out
+
+
+def _token_table(bodies: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct readings of all texts, coded, and of each text the numbers of its own."""
+    parts = []
+    for body in bodies:
+        readable = {r for t in set(text_tokens(body)) for r in readings(t.decode("utf-8", "replace"))}
+        parts.append(np.unique(coded(readable)))
+    words, at = np.unique(np.concatenate(parts), return_inverse=True)
+    return words, np.split(at.astype(np.int32), np.cumsum([len(p) for p in parts])[:-1])
+
+
+class Trainer:
+    """One machine: landmarks, and rounds in which toxic texts choose a token and clean tokens are added."""
+
+    def __init__(self, words: np.ndarray, norms: np.ndarray, in_clean: np.ndarray, owners: list[np.ndarray]):
+        self.words, self.norms, self.in_clean = words, norms, in_clean
+        self.other = np.flatnonzero(in_clean > 0)
+        self.usual = self.other[np.lexsort((self.other, -in_clean[self.other]))]
+        # only what no clean text holds can make a text toxic; a token is numbered within the candidates
+        self.candidates = np.unique(np.concatenate(owners)) if owners else np.zeros(0, np.int64)
+        self.owners = [np.searchsorted(self.candidates, own) for own in owners]
+
+    def run(self, landmarks: np.ndarray, sure: np.ndarray, rounds: int) -> tuple[Model, np.ndarray]:
+        """The machine over ``landmarks``, and the clean tokens that came nearest to being toxic."""
+        kernel = Kernel(landmarks)
+        gram = kernel.values(landmarks).astype(np.float64)
+        values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+        root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
+        strange = np.array(sorted({v for t in sure.tolist() for v in disturbed(t)}), self.words.dtype)
+        strange = strange[~np.isin(strange, self.words[self.other])]
+        tokens = kernel.values(self.words[self.candidates]) @ root.astype(np.float32)
+        certain, odd = kernel.values(sure) @ root, kernel.values(strange) @ root
+        easy = kernel.values(self.words[self.usual[:: max(1, len(self.usual) // CLEAN_TOKENS)]]) @ root
+        score = np.zeros(len(self.candidates))
+        score[np.isin(self.words[self.candidates], sure)] = 1.0
+        found = np.zeros(0, np.int64)
+        hard = np.zeros((0, len(landmarks)))
+        model = Model(kernel.table, 0.0, 1.0, 0.0)
+        for turn in range(rounds):
+            worst = np.array([own[np.argmax(score[own])] for own in self.owners if len(own)], np.int64)
+            worst = worst[score[worst] > 0] if turn else worst  # a text that nothing explains teaches nothing
+            groups = [(tokens[worst], 1.0, 1.0), (certain, 1.0, 1.0), (odd, 1.0, 0.5), (easy, -1.0, 2.0), (hard, -1.0, 2.0)]
+            target = np.concatenate([np.full(len(g), t) for g, t, _ in groups])
+            cost = np.concatenate([np.full(len(g), MARGIN_COST * 1000 * part / max(1, len(g))) for g, _, part in groups])
+            w = squared_hinge(np.concatenate([g for g, _, _ in groups]).astype(np.float64), target, cost)
+            score = tokens @ w[:-1] + w[-1]
+            model = Model(kernel.collapsed(root @ w[:-1]), float(w[-1]), 1.0, 0.0)
+            near = model.token_margins(self.words[self.other], self.norms[self.other])
+            order = np.argsort(-near, kind="stable")[:HARD_TOKENS]
+            more = np.setdiff1d(self.other[order[near[order] > -1]], found)
+            found = np.concatenate([found, more])
+            hard = np.concatenate([hard, kernel.values(self.words[more]) @ root])
+        return model, self.other[order]
 
 
 def fit(bodies: list[bytes], y: list[int]) -> Model:
@@ -269,47 +341,23 @@ def fit(bodies: list[bytes], y: list[int]) -> Model:
     share = sum(y) / len(y) if y else 0.0
     if not 0 < share < 1:
         return Model(np.zeros(ALPHABET**ORDER, np.float32), 0.0, 0.0, 30.0 if share else -30.0)
-    known: dict[bytes, list[str]] = {}
-    sets = []
-    for b in bodies:
-        tokens = set(text_tokens(b))
-        known.update((t, readings(t.decode("utf-8", "replace"))) for t in tokens - known.keys())
-        sets.append({r for t in tokens for r in known[t]})
-    landmarks, toxic = pick_landmarks(sets, y, LANDMARKS - CLEAN_LANDMARKS, CLEAN_LANDMARKS)
-    kernel = Kernel(landmarks)
-    gram = kernel.values(kernel.landmarks)
-    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
-    clean = Counter(t for s, label in zip(sets, y) if not label for t in s)
-    other = sorted(clean, key=lambda t: (-clean[t], t))
-    negative = other[:: max(1, len(other) // CLEAN_TOKENS)]
-    owners = [sorted(t for t in s if len(t) > ORDER and t not in clean) for s, label in zip(sets, y) if label]
-    chosen = kernel.landmarks[:toxic]
-    strange = [v for t in chosen for v in disturbed(t) if v not in clean]
-    tokens = sorted({t for own in owners for t in own} | set(chosen) | set(strange))
-    place = {t: i for i, t in enumerate(tokens)}
-    x = kernel.values(tokens) @ root
-    sure_at, strange_at = [place[t] for t in chosen], [place[t] for t in strange]
-    score = np.zeros(len(tokens))
-    score[sure_at] = 1.0
-    model = Model(kernel.table, 0.0, 1.0, 0.0)
-    easy, hard, found = kernel.values(negative) @ root, np.zeros((0, len(root))), {}
-    for turn in range(ROUNDS):
-        worst_at = [max((place[t] for t in own), key=lambda i: score[i]) for own in owners if own]
-        worst_at = [i for i in worst_at if score[i] > 0] if turn else worst_at  # a text that nothing explains teaches nothing
-        groups = [(x[worst_at], 1.0, 1.0), (x[sure_at], 1.0, 1.0), (x[strange_at], 1.0, 0.5), (easy, -1.0, 2.0), (hard, -1.0, 2.0)]
-        target = np.concatenate([np.full(len(g), t) for g, t, _ in groups])
-        cost = np.concatenate([np.full(len(g), MARGIN_COST * 1000 * part / max(1, len(g))) for g, _, part in groups])
-        w = squared_hinge(np.concatenate([g for g, _, _ in groups]), target, cost)
-        score = x @ w[:-1] + w[-1]
-        model = Model(kernel.collapsed(root @ w[:-1]), float(w[-1]), 1.0, 0.0)
-        near = model.token_margins(other)
-        worst = [other[i] for i in np.argsort(-near, kind="stable")[:HARD_TOKENS] if near[i] > -1 and other[i] not in found]
-        found |= dict.fromkeys(worst)
-        hard = np.concatenate([hard, kernel.values(worst) @ root])
-    every = sorted(set().union(*sets))
-    of_token = dict(zip(every, model.token_margins(every).tolist()))
-    margin, target = np.array([max(map(of_token.__getitem__, s), default=model.bias) for s in sets]), np.array(y)
+    words, sets = _token_table(bodies)
+    norms, target = norms_of(words), np.array(y)
+    count = lambda label: np.bincount(np.concatenate([s for s, t in zip(sets, y) if t == label]), minlength=len(words))
+    in_toxic, in_clean = count(1), count(0)
+    long = np.char.str_len(words) > ORDER
+    toxic_sets = [s for s, t in zip(sets, y) if t]
+    chosen = pick_landmarks(toxic_sets, in_toxic, in_clean, long, int(target.sum()), int((1 - target).sum()), LANDMARKS)
+    trainer = Trainer(words, norms, in_clean, [s[long[s] & (in_clean[s] == 0)] for s in toxic_sets])
+    usual = trainer.usual[long[trainer.usual]][:CLEAN_LANDMARKS]
+    sure = words[chosen]
+    first = np.concatenate([sure, words[usual]])
+    _, near = trainer.run(first, sure, 2)
+    # the clean tokens most like insults span the space too, so that the machine can tell the two apart
+    beside = words[near[long[near]][:HARD_LANDMARKS]]
+    model, _ = trainer.run(np.concatenate([first, beside[~np.isin(beside, first)]]), sure, ROUNDS)
+    of_token = model.token_margins(words, norms)
+    margin = np.array([of_token[s].max() if len(s) else model.bias for s in sets])
     explained = (target == 0) | (margin > 0)
     model.slope, model.offset = logistic(margin[explained], target[explained])
     return model
@@ -338,7 +386,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     known = known.groupBy("key").agg(F.max("y").alias("y"))
     texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body")).where(F.octet_length("body") <= FIT_BYTES)
     usable = texts.select("key").join(known, "key").distinct().orderBy(F.xxhash64("key"), "key").limit(limit)
-    rows = texts.join(F.broadcast(usable), "key").select("body", "y").dropDuplicates(["body"]).limit(2 * limit).collect()
+    # of equal texts with several labels the greatest counts, and of one id's texts the first
+    rows = texts.join(F.broadcast(usable), "key").groupBy("body").agg(F.max("y").alias("y")).orderBy(F.md5("body")).limit(2 * limit).collect()
     rows.sort(key=lambda r: bytes(r["body"]))
     return fit([bytes(r["body"]) for r in rows], [r["y"] for r in rows])
 

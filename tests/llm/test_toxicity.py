@@ -23,12 +23,13 @@ def plain_kernel(s, t):
 def test_kernel_and_collapsed_form_against_all_subsequences():
     rnd = random.Random(2)
     words = ["".join(rnd.choice("abcde") for _ in range(rnd.randint(3, 9))) for _ in range(30)]
-    kernel = toxicity.Kernel(words[:8])
+    tokens = toxicity.coded(words)
+    kernel = toxicity.Kernel(tokens[:8])
     want = np.array([[plain_kernel(w, m) for m in words[:8]] for w in words])
-    assert kernel.values(words) == pytest.approx(want)
+    assert kernel.values(tokens) == pytest.approx(want, abs=1e-5)
     alpha = np.linspace(-1, 1, 8)
     model = toxicity.Model(kernel.collapsed(alpha), 0.25, 1.0, 0.0)
-    assert model.token_margins(words) == pytest.approx(want @ alpha + 0.25, abs=1e-4)
+    assert model.token_margins(tokens) == pytest.approx(want @ alpha + 0.25, abs=1e-4)
     marked = np.array([[plain_kernel(toxicity.FIRST + w + toxicity.LAST, m) for m in words[:8]] for w in words])
     assert model.margins([w.encode() for w in words]) == pytest.approx((marked @ alpha + 0.25).tolist(), abs=1e-4)
 
@@ -63,7 +64,6 @@ def small_model(spark):
     return toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"), limit=1500)
 
 
-@pytest.mark.xfail(strict=True, reason="known gap: 'l-oser' scores 0.30 after 1,500 labelled texts; the other six pass")
 def test_gapped_insults(small_model):
     texts = ["on the ere {} anthe".format(w) for w in ("idiot", "i.d.i.o.t", "id-iot", "i d i o t", "Moron!", "w_o_r_thless", "l-oser")]
     assert min(small_model.probabilities([t.encode() for t in texts])) > 0.5
