@@ -3,16 +3,17 @@
 Every text gets a SimHash of its distinct shingles. The self-join of the binary trie of fingerprints
 (``neardup.links``) names texts that are very close, but at a similarity of 0.8 two fingerprints lie
 ten bits apart on the mean, which no trie prunes. So its links are only the first candidates, and an
-exact prefix filter adds the others: the shingles of every text are put into one global order, those
-that a sample of texts shares often coming last. Of two texts as alike as this, each holds their
-first common shingle among its first fifth, and so early that what follows in either can still make
-up the common part; so texts meet in the bucket of every such shingle, and no pair is missed. The
-sample decides on the cost alone, since any order gives the same pairs.
+exact prefix filter adds the others: the shingles of every text are put into one global order, by
+their number over all texts, rare ones first. Of two texts as alike as this, each holds their first
+common shingle among its first fifth, and so early that what follows in either can still make up the
+common part; so texts meet in the bucket of every such shingle, and no pair is missed. The numbers
+are kept by a hash of CELLS values, a table of one size whatever the corpus; shingles that share a
+cell only cost time, since any order gives the same pairs.
 
 Candidates are held to a parity sketch first: of each text, one bit for each of at least 4 n buckets
 says whether an odd number of shingles falls there. Buckets that differ never outnumber the shingles
 that differ, so no pair of 0.8 fails. What is left is held to the exact similarity of the texts, but
-of several candidates that would join two groups only one at a time: each group tests one candidate,
+of those found later and still between two groups only one at a time: each group tests one candidate,
 those that pass are merged, and rounds go on until every candidate is inside a group or refuted.
 
 Texts that share much would give the square of their number. So each text first meets the hub of its
@@ -29,7 +30,6 @@ their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,17 +37,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected
-from .neardup import BITS, SEED, _digests, _majority, links
+from .neardup import BITS, SEED, _digests, _majority
+from .neardup import links as trie_links_of
 from .staging import scratch, stage
 
 SHINGLE = 5
 SIMILARITY = 0.8
-ORDER_TEXTS = 10_000  # sampled for the order of shingles
-COMMON = 4  # a shingle of that many sampled texts comes after rarer ones
-MOST_COMMON = 200_000
+CELLS = 1 << 21  # of the numbers of shingles
+PARTS = 64  # that the cells are added up in
 BUCKETS_A_SHINGLE = 4
 HUB_ROWS = 2_000  # of a much tested text, candidates in one task's share
-MOST_HUBS = 100_000  # such texts are broadcast (16 bytes each) up to this number
+MOST_NUMBERS = 100_000  # numbers of texts are broadcast (16 bytes each) up to this many
 
 
 def shingle_set(text: bytes | None) -> np.ndarray:
@@ -62,16 +62,12 @@ def similarity(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def prefix(shingles: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+def prefix(shingles: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     """The first fifth of the shingles (and one) in the global order; of none, a zero."""
-    h = shingles.view("<i8")
-    if not len(h):
+    if not len(shingles):
         return np.zeros(1, np.int64)
-    seen = np.zeros(len(h), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-        seen = np.where(common[at] == h, times[at], 0)
-    return h[np.lexsort((h, seen))[: len(h) // 5 + 1]]
+    times = numbers[shingles & np.uint64(CELLS - 1)]
+    return shingles[np.lexsort((shingles, times))[: len(shingles) // 5 + 1]].view("<i8")
 
 
 def parity(shingles: np.ndarray) -> bytes:
@@ -93,30 +89,36 @@ def differing(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _common(plain: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that many of ORDER_TEXTS sampled rows hold, at most MOST_COMMON of them, and how many do."""
-    every = max(1, plain.count() // ORDER_TEXTS)
+def _numbers(plain: DataFrame) -> np.ndarray:
+    """For each cell, how many texts hold its shingles, over all of ``plain``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = np.zeros(CELLS, np.uint32)
         for batch in batches:
             for body in batch["body"]:
-                yield pd.DataFrame({"h": shingle_set(body).view("<i8")})
+                cells = shingle_set(body) & np.uint64(CELLS - 1)
+                np.add.at(count, cells, 1)
+        yield pd.DataFrame({"part": range(PARTS), "count": [x.tobytes() for x in np.split(count, PARTS)]})
 
-    sample = plain.where(F.pmod(F.xxhash64("digest"), F.lit(every)) == 0).dropDuplicates(["digest"]).select("body")
-    counted = sample.mapInPandas(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-    top = counted.orderBy(F.desc("n"), "h").limit(MOST_COMMON).toPandas().sort_values("h")
-    return top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+    def add(parts: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(CELLS // PARTS, np.uint64)
+        for x in parts["count"]:
+            total += np.frombuffer(x, np.uint32)
+        return pd.DataFrame({"part": parts["part"].iloc[:1], "count": [np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32).tobytes()]})
+
+    rows = plain.select("body").mapInPandas(run, "part int, count binary").groupBy("part").applyInPandas(add, "part int, count binary").collect()
+    return np.frombuffer(b"".join(bytes(r["count"]) for r in sorted(rows, key=lambda r: r["part"])) or bytes(4 * CELLS), np.uint32)
 
 
 def _texts(plain: DataFrame) -> DataFrame:
     """One row for each distinct text: number, digest, shingles, fingerprint, prefix and parity sketch."""
-    order = plain.sparkSession.sparkContext.broadcast(_common(plain))  # 3 MB at most
+    numbers = plain.sparkSession.sparkContext.broadcast(_numbers(plain))  # 8 MB
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(t) for t in batch["body"]]
             fp = np.array([_majority(s.astype(">u8").view(np.uint8).reshape(-1, BITS // 8)) for s in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"digest": batch["digest"], "n": list(map(len, sets)), "fp": fp, "prefix": [prefix(s, *order.value) for s in sets], "parity": list(map(parity, sets))})
+            yield pd.DataFrame({"digest": batch["digest"], "n": list(map(len, sets)), "fp": fp, "prefix": [prefix(s, numbers.value) for s in sets], "parity": list(map(parity, sets))})
 
     made = plain.select("digest", "body").mapInPandas(run, "digest binary, n long, fp long, prefix array<long>, parity binary")
     return made.dropDuplicates(["digest"]).withColumn("tid", F.monotonically_increasing_id())
@@ -129,7 +131,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def _trie_pairs(texts: DataFrame) -> DataFrame:
     """Candidates by the trie of fingerprints; texts of one fingerprint are tied to the first of them."""
     first, _ = stage(texts.groupBy("fp").agg(F.min("tid").alias("first")), "copy-classes")
-    near = links(first).join(first.toDF("u", "a"), "u").join(first.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    near = trie_links_of(first).join(first.toDF("u", "a"), "u").join(first.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     same = texts.select("tid", "fp").join(first, "fp").select(F.col("first").alias("u"), F.col("tid").alias("v"))
     return near.union(same)
 
@@ -161,11 +163,17 @@ def _bucket_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return _ordered(met.select(F.col("tid_a").alias("u"), F.col("tid_b").alias("v")))
 
 
+def _small(numbers: DataFrame) -> DataFrame:
+    """Broadcast where few enough, else joined by a shuffle."""
+    return F.broadcast(numbers) if numbers.count() <= MOST_NUMBERS else numbers.hint("merge")
+
+
 def _beside(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
     """``pairs`` with ``columns`` of both ends; a text in many pairs is dealt to several tasks."""
     spread, _ = stage(pairs.groupBy("u").agg((F.count("*") / HUB_ROWS).cast("int").alias("shares")).where("shares > 0"), "copy-hubs")
-    if spread.count() <= MOST_HUBS:
-        spread = F.broadcast(spread)
+    spread = _small(spread)
+    nodes = _small(stage(pairs.select(F.col("u").alias("tid")).union(pairs.select("v")).distinct(), "copy-nodes")[0])
+    table = table.select("tid", *columns).join(nodes, "tid", "left_semi")
     dealt = pairs.join(spread, "u", "left").withColumn("share", F.pmod(F.hash("v"), 1 + F.coalesce("shares", F.lit(0))))
     many = table.join(spread.withColumnRenamed("u", "tid"), "tid", "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(0)))))
     right = table.select(F.col("tid").alias("v"), *(F.col(c).alias(f"{c}_v") for c in columns))
@@ -201,9 +209,10 @@ def _alike(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     return _beside(pairs, bodies, "body").select("u", "v", "body_u", "body_v").mapInPandas(compare, "u long, v long")
 
 
-def _joined(pairs: DataFrame, bodies: DataFrame, found: list[DataFrame], roots: DataFrame) -> DataFrame:
-    """``roots`` once ``pairs`` have been tested, one for each group at a time, until each of them joins
-    nothing or has been refuted; the links that pass are added to ``found``."""
+def _joined(pairs: DataFrame, bodies: DataFrame, links: DataFrame) -> DataFrame:
+    """The roots that ``links`` and those of ``pairs`` that were needed give: of pairs between
+    two groups one for each group is tested at a time, until each joins nothing or has been refuted."""
+    roots = connected(links)
     while True:
         left, right = roots.toDF("u", "ru").hint("merge"), roots.toDF("v", "rv").hint("merge")
         rooted = pairs.join(left, "u", "left").join(right, "v", "left").select("u", "v", F.coalesce("ru", "u").alias("ru"), F.coalesce("rv", "v").alias("rv"))
@@ -212,8 +221,8 @@ def _joined(pairs: DataFrame, bodies: DataFrame, found: list[DataFrame], roots:
             return roots
         ends = pairs.select("u", "v", F.col("ru").alias("r")).union(pairs.select("u", "v", F.col("rv").alias("r")))
         picked, _ = stage(ends.groupBy("r").agg(F.min(F.struct("u", "v")).alias("p")).select("p.u", "p.v").distinct(), "copy-picked")
-        found.append(stage(_alike(picked, bodies), "copy-links")[0])
-        roots = connected(reduce(DataFrame.union, found))
+        links, _ = stage(links.union(_alike(picked, bodies)), "copy-links")
+        roots = connected(links)
         pairs = pairs.join(picked, ["u", "v"], "left_anti").select("u", "v")
 
 
@@ -226,11 +235,9 @@ def _roots(plain: DataFrame, texts: DataFrame) -> DataFrame:
     able = shared.select("tid").union(first.select("u")).union(first.select("v")).distinct()
     wanted = texts.select("tid", "digest").join(able.hint("merge"), "tid", "left_semi")
     bodies, _ = stage(plain.join(wanted.hint("merge"), "digest").dropDuplicates(["tid"]).select("tid", "body"), "copy-bodies")
-    found: list[DataFrame] = []
-    none = plain.sparkSession.createDataFrame([], "u long, root long")
-    roots = _joined(first, bodies, found, none)
-    more, _ = stage(_passing(_bucket_pairs(shared, roots), texts), "copy-candidates")
-    return _joined(more, bodies, found, roots).toDF("tid", "root")
+    links, _ = stage(_alike(first, bodies), "copy-links")
+    more, _ = stage(_passing(_bucket_pairs(shared, connected(links)), texts), "copy-candidates")
+    return _joined(more, bodies, links).toDF("tid", "root")
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -53,6 +53,7 @@ ROUNDS = 4
 CHANCE = 0.15
 MARGIN_COST = 10.0
 HELD_OUT_OF = 5
+SPANS_AT_ONCE = 1 << 18  # subsequences of tokens worked on together
 MOST_KEPT = 250_000  # in each of two generations
 ALPHABET = 128
 EDGES = ".,;:!?\"'()[]{}<>«»„“”’…-–—*_|/\\~`"
@@ -90,8 +91,9 @@ def subsequences(tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, n
             continue
         at, weight = _spans_of(length)
         index = np.flatnonzero(lengths == length)
-        for a in range(0, len(index), 2048):
-            part = index[a : a + 2048]
+        step = max(1, SPANS_AT_ONCE // len(at))
+        for a in range(0, len(index), step):
+            part = index[a : a + step]
             own = letters[part, :length].astype(np.int32)
             codes = np.zeros((len(part), len(at)), np.int32)
             for k in range(ORDER):
