@@ -140,9 +140,12 @@ def project_status(deadline: Column, coming_soon: Column, status: Column, now: d
     )
 
 
-def host_class(adapter: Column) -> Column:
-    rules = (("federal", "^federal"), ("open_portals", "^opengov|^open_portals"), ("k12_portals", "^ionwave|^k12_portals"), ("state", "_[a-z]{2}$"))
-    return first_match(adapter, rules, "other")
+def host_class(adapter: Column, family: Column) -> Column:
+    """Kind of host that a record's documents are fetched from."""
+    return (
+        F.when(adapter == "sam_gov", "sam").when(adapter.contains("opengov"), "opengov").when(adapter.contains("ionwave"), "ionwave")
+        .when(family == "sled", "sled").otherwise("other")
+    )
 
 
 def live_confidence() -> Column:
@@ -162,9 +165,15 @@ def stored_confidence() -> Column:
     )
 
 
+# What a card says where there is nothing of the record's own to say.
+CARD_MATCHED = "Profile criteria matched this opportunity."
+CARD_VERIFIED = "Source record verified; document intelligence is available on demand."
+
+
 def card_insight() -> Column:
     """What a card shows: match reasons if it was ranked, doubts if confidence is low, else a fact."""
-    reasons = F.array_join(F.slice("match_reasons", 1, 3), " / ")
-    ranked = F.coalesce(F.nullif(reasons, F.lit("")), F.lit("Profile criteria matched."))
+    reasons = F.array_join(F.slice("match_reasons", 1, 3), " \u00b7 ")
+    ranked = F.coalesce(F.nullif(reasons, F.lit("")), F.lit(CARD_MATCHED))
     doubt, fact = F.get("uncertainty", F.lit(0)), F.get("verified", F.lit(0))
-    return F.when(F.col("match_score").isNotNull(), ranked).when(F.col("confidence") < 75, doubt).otherwise(fact)
+    shown = F.when(F.col("match_score").isNotNull(), ranked).when(F.col("confidence") < 75, doubt).otherwise(fact)
+    return F.coalesce(F.nullif(shown, F.lit("")), F.lit(CARD_VERIFIED))

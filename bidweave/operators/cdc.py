@@ -35,11 +35,12 @@ def most_certain_wins(rows: DataFrame, keys: list[str], confidence: str, positio
 
 def classify(stored: DataFrame, incoming: DataFrame, key: str = "id", digest: str = "content_hash") -> DataFrame:
     """``key`` and ``change``: new, changed, unchanged, or absent from the snapshot."""
-    a, b = stored.select(F.col(key), F.col(digest).alias("old_hash")), incoming.select(F.col(key), F.col(digest).alias("new_hash"))
+    a = stored.select(F.col(key), F.col(digest).alias("old_hash"), F.lit(True).alias("was"))
+    b = incoming.select(F.col(key), F.col(digest).alias("new_hash"), F.lit(True).alias("comes"))
     both = a.join(b, key, "full")
-    change = (
-        F.when(F.col("old_hash").isNull(), "new").when(F.col("new_hash").isNull(), "absent")
-        .when(F.col("old_hash") != F.col("new_hash"), "changed").otherwise("unchanged")
+    change = (  # a digest may be null, so the sides tell what is absent
+        F.when(F.col("was").isNull(), "new").when(F.col("comes").isNull(), "absent")
+        .when(~F.col("old_hash").eqNullSafe(F.col("new_hash")), "changed").otherwise("unchanged")
     )
     return both.select(key, change.alias("change"))
 

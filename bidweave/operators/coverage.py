@@ -22,10 +22,29 @@ def effective_status(registry: Column, open_records: Column) -> Column:
     )
 
 
+# Sources whose key does not end in their state's code, and the families that count for states.
+STATE_OF_SOURCE = {"indiana_idoa": "in", "tennessee_cpo_public": "tn"}
+STATE_FAMILIES = ("periscope_", "jaggaer_", "peoplesoft_")
+
+
+def source_state(adapter: Column) -> Column:
+    """Lower-case code of the state that a source belongs to: what follows its key's last underline, or one of two exceptions."""
+    named = F.create_map(*(F.lit(x) for pair in STATE_OF_SOURCE.items() for x in pair))
+    return F.coalesce(named[adapter], F.when(adapter.contains("_"), F.element_at(F.split(adapter, "_"), -1)))
+
+
+def is_state_source(adapter: Column, family: Column) -> Column:
+    """Whether a source counts for the coverage of states."""
+    named = adapter.isin(*STATE_OF_SOURCE)
+    for start in STATE_FAMILIES:
+        named = named | adapter.startswith(start)
+    return (family == "sled") | named
+
+
 def state_coverage(registry: DataFrame, counted: DataFrame) -> DataFrame:
     """Each registry state with the sources whose adapter key ends in its code."""
-    keyed = counted.withColumn("state", F.element_at(F.split("adapter_key", "_"), -1))  # the suffix rule as an equi-join
-    joined = registry.join(keyed, "state", "left")
+    keyed = counted.withColumn("of_state", source_state(F.col("adapter_key")))  # the suffix rule as an equi-join
+    joined = registry.join(keyed, F.lower(registry["state"]) == keyed["of_state"], "left")
     rolled = joined.groupBy("state", "registry_status").agg(
         F.count("source_id").alias("sources"),
         F.coalesce(F.sum("open_records"), F.lit(0)).alias("open_records"),

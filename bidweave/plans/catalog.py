@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import dates, rules, text
+from ..functions import classify, dates, rules, text
 from ..operators import cdc, coverage, decision, documents, evidence, inventory, match, queue
 from ..sources import landed
 from . import views
@@ -51,12 +51,13 @@ _CONFIDENCE = """least(78, case when source_family = 'federal' then 38 else 42 e
 def _listing_sql(family: str) -> str:
     return f"""select id, agency, title, due_at, estimated_value, identified, fetched, analyzed, missing,
  case when city <> '' and state_code <> '' then city || ', ' || state_code else coalesce(nullif(city, ''), nullif(state_code, ''), 'Location not stated') end as location, {_CONFIDENCE} confidence,
- case when identified = 0 then 'No package documents are known yet.'
-  when missing > 0 then missing || ' of ' || identified || ' known document' || case identified when 1 then '' else 's' end || ' ' || case missing when 1 then 'is' else 'are' end || ' marked missing.'
-  when fetched < identified then (identified - fetched) || ' of ' || identified || ' known document' || case identified when 1 then '' else 's' end || ' ' || case identified - fetched when 1 then 'has' else 'have' end || ' not yet been fetched.'
-  when analyzed < fetched then (fetched - analyzed) || ' of ' || fetched || ' fetched document' || case fetched when 1 then '' else 's' end || ' ' || case fetched - analyzed when 1 then 'has' else 'have' end || ' not yet been analyzed.'
-  else 'All known package documents have been analyzed.' end package_state,
- case when identified = 0 then 'locate' when missing > 0 then 'resolve missing' when fetched < identified then 'acquire' when analyzed < fetched then 'analyze' else 'review' end next_step
+ case when identified = 0 then 'No bid-package documents have been identified yet.'
+  when missing > 0 then missing || ' of ' || identified || ' identified package document' || case identified when 1 then '' else 's' end || ' ' || case missing when 1 then 'is' else 'are' end || ' marked missing.'
+  when fetched < identified then (identified - fetched) || ' of ' || identified || ' identified package document' || case identified when 1 then '' else 's' end || ' ' || case identified - fetched when 1 then 'has' else 'have' end || ' not yet been fetched.'
+  when analyzed < fetched then (fetched - analyzed) || ' of ' || fetched || ' fetched package document' || case fetched when 1 then '' else 's' end || ' ' || case fetched - analyzed when 1 then 'has' else 'have' end || ' not yet been analyzed.'
+  else 'All currently identified package documents have been analyzed; package completeness is not yet verified.' end package_state,
+ case when identified = 0 then 'Open the original source and locate the bid package or solicitation documents.' when missing > 0 then 'Resolve the missing package documents before making a Pursue / Watch / Walk decision.'
+  when fetched < identified then 'Acquire the remaining identified package documents.' when analyzed < fetched then 'Analyze the remaining fetched package documents.' else 'Review verified requirements and confirm package completeness before deciding Pursue / Watch / Walk.' end next_step
  from (select cur.*, {_STATE} from cur left join ds on id = opportunity_id) where '{family}' in ('all', source_family) order by due_at nulls last, id limit 500"""
 
 
@@ -397,21 +398,21 @@ _NOW = views.datetime(2024, 1, 15)
 _WAIT = "timestamp '2024-01-15' + to_seconds(least(600, pow(2, attempts))::bigint)"
 
 
-@query("q3_expired_leases", f"{_JOBS_SQL}, x as (select *, state = 'leased' and leased_until < timestamp '2024-01-15' gone from jobs) select id, case when gone and attempts >= max_attempts then 'dead' when gone then 'pending' else state end state, case when gone and attempts < max_attempts then {_WAIT} else run_after end run_after, case when gone then coalesce(last_error, 'lease expired') else last_error end last_error from x")
+@query("q3_expired_leases", f"{_JOBS_SQL}, x as (select *, state = 'leased' and leased_until < timestamp '2024-01-15' gone from jobs) select id, case when gone and attempts >= max_attempts then 'dead' when gone then 'pending' else state end state, case when gone then {_WAIT} else run_after end run_after, case when not gone then leased_until end leased_until, case when gone then coalesce(last_error, 'lease expired') else last_error end last_error from x")
 def q3_expired_leases(spark, sf_dir):
-    return queue.expire_leases(_jobs(Tables(spark, sf_dir)), _NOW).select("id", "state", "run_after", "last_error")
+    return queue.expire_leases(_jobs(Tables(spark, sf_dir)), _NOW).select("id", "state", "run_after", "leased_until", "last_error")
 
 
-@query("q4_retried_jobs", f"{_JOBS_SQL}, x as (select *, case when id % 10 = 0 then 'HTTP 404' when id % 10 = 1 then 'timeout' end error from jobs), y as (select *, error is not null and (attempts >= max_attempts or error = 'HTTP 404') dead from x) select id, case when dead then 'dead' when error is not null then 'pending' else state end state, case when error is not null and not dead then {_WAIT} else run_after end run_after, coalesce(error, last_error) last_error from y")
+@query("q4_retried_jobs", f"{_JOBS_SQL}, x as (select *, case when id % 10 = 0 then 'http_404' when id % 10 = 1 then 'timeout' end error from jobs) select id, case when error = 'http_404' then 'dead' when error is null then state when attempts >= max_attempts then 'dead' else 'pending' end state, case when error = 'http_404' then max_attempts else attempts end attempts, case when error = 'timeout' then {_WAIT} else run_after end run_after, case when error is null then leased_until end leased_until, coalesce(error, last_error) last_error from x")
 def q4_retried_jobs(spark, sf_dir):
     jobs = _jobs(Tables(spark, sf_dir))
-    failures = jobs.where("id % 10 < 2").select("id", F.when(F.col("id") % 10 == 0, "HTTP 404").otherwise("timeout").alias("error"))
-    return queue.retry(jobs, failures, _NOW).select("id", "state", "run_after", "last_error")
+    failures = jobs.where("id % 10 < 2").select("id", F.when(F.col("id") % 10 == 0, "http_404").otherwise("timeout").alias("error"))
+    return queue.retry(jobs, failures, _NOW).select("id", "state", "attempts", "run_after", "leased_until", "last_error")
 
 
-@query("q2_claimed_jobs", f"{_JOBS_SQL} select id, priority, run_after from jobs where state = 'pending' and run_after <= timestamp '2024-01-15' order by priority, run_after, id limit 24")
+@query("q2_claimed_jobs", f"{_JOBS_SQL} select id, 'leased' state, priority, attempts + 1 attempts, run_after, timestamp '2024-01-15 00:10:00' leased_until, 'w1' lease_owner from jobs where state = 'pending' and run_after <= timestamp '2024-01-15' order by priority, run_after, id limit 24")
 def q2_claimed_jobs(spark, sf_dir):
-    return queue.claim(_jobs(Tables(spark, sf_dir)), _NOW, 24).select("id", "priority", "run_after")
+    return queue.claim(_jobs(Tables(spark, sf_dir)), _NOW, 24, "w1").select("id", "state", "priority", "attempts", "run_after", "leased_until", "lease_owner")
 
 
 def _enqueue_sql(kept: str, revive: bool) -> str:
@@ -429,15 +430,16 @@ def _enqueued(policy: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 query("q1_enqueue_continue", _enqueue_sql("state in ('done', 'leased')", False))(_enqueued("continue"))
-query("q1_enqueue_force", _enqueue_sql("false", False))(_enqueued("force"))
+query("q1_enqueue_force", _enqueue_sql("false", True))(_enqueued("force"))
+query("q1_enqueue_force_extract", _enqueue_sql("state = 'done'", False))(_enqueued("force_extract"))
 query("q1_enqueue_package", _enqueue_sql("state in ('done', 'leased')", True))(_enqueued("package"))
 
 
-@query("q6_expired_for_closed", f"{_JOBS_SQL} select id, case when state in ('pending', 'leased') and opportunity_id in (select id from opp where status = 'closed') then 'dead' else state end state from jobs")
+@query("q6_expired_for_closed", f"{_JOBS_SQL} select id, case when state = 'pending' and opportunity_id in (select id from opp where status = 'closed') then 'dead' else state end state, case when state = 'pending' and opportunity_id in (select id from opp where status = 'closed') then 'opportunity_closed_or_expired' else last_error end last_error from jobs")
 def q6_expired_for_closed(spark, sf_dir):
     t = Tables(spark, sf_dir)
     closed = t.opportunities.where("status = 'closed'").select(F.col("id").alias("opportunity_id"))
-    return queue.expire_for_closed(_jobs(t), closed).select("id", "state")
+    return queue.expire_for_closed(_jobs(t), closed).select("id", "state", "last_error")
 
 
 @query("q10_shard_of_hour", "select registry_state from src where source_id % 5 = 13 % 5")
@@ -473,6 +475,33 @@ def t22_shown_dates(spark, sf_dir):
     return Tables(spark, sf_dir).opportunities.select("id", dates.shown(F.col("due_at")).alias("due"))
 
 
+@query("o3_decision_order", "select distinct p_name, p_type, case when regexp_matches(lower(p_name), '(rfp|rfq|ifb|itb|solicitation|request for proposal|request for quote|invitation to bid)') then 0 when regexp_matches(lower(p_name), '(spec|scope|statement of work|sow|requirements|general conditions|special conditions)') then 1 when regexp_matches(lower(p_name), '(addendum|amendment|questions|answers|q&a)') then 2 when regexp_matches(lower(p_type), '(solicitation|spec|addendum|amendment)') then 3 else 9 end::int as rank from (select p_name || case p_partkey % 5 when 0 then ' Q&A' when 1 then ' General Conditions' when 2 then ' ITB' else '' end p_name, p_type || case when p_partkey % 7 = 0 then ' Spec' else '' end p_type from part)")
+def o3_decision_order(spark, sf_dir):
+    number = F.col("p_partkey")
+    name = F.concat("p_name", F.when(number % 5 == 0, " Q&A").when(number % 5 == 1, " General Conditions").when(number % 5 == 2, " ITB").otherwise(""))
+    kind = F.concat("p_type", F.when(number % 7 == 0, " Spec").otherwise(""))
+    named = Tables(spark, sf_dir).raw("part").select(name.alias("p_name"), kind.alias("p_type"))
+    return named.select("p_name", "p_type", queue.decision_order(F.col("p_name"), F.col("p_type")).alias("rank")).distinct()
+
+
+@query("k8_host_class", ", keys as (select source_id, source_family, case source_id % 4 when 0 then 'sam_gov' when 1 then 'opengov_' || registry_state when 2 then adapter_key else 'x_ionwave' end adapter_key from src) select source_id, adapter_key, case when adapter_key = 'sam_gov' then 'sam' when contains(adapter_key, 'opengov') then 'opengov' when contains(adapter_key, 'ionwave') then 'ionwave' when source_family = 'sled' then 'sled' else 'other' end host_class from keys")
+def k8_host_class(spark, sf_dir):
+    number = F.col("source_id") % 4
+    key = F.when(number == 0, "sam_gov").when(number == 1, F.concat(F.lit("opengov_"), "registry_state")).when(number == 2, F.col("adapter_key")).otherwise("x_ionwave")
+    keyed = Tables(spark, sf_dir).sources.withColumn("adapter_key", key)
+    return keyed.select("source_id", "adapter_key", classify.host_class(F.col("adapter_key"), F.col("source_family")).alias("host_class"))
+
+
+@query("j14_source_states", ", keys as (select source_id, source_family, case source_id % 6 when 0 then 'indiana_idoa' when 1 then 'tennessee_cpo_public' when 2 then 'periscope_il' when 3 then 'plain' else adapter_key end adapter_key from src), r as (select unnest(['IN', 'TN', 'IL', '03', '04', '05', '10']) state) select state, source_id, adapter_key from keys join r on ends_with(adapter_key, '_' || lower(state)) or state = 'IN' and adapter_key = 'indiana_idoa' or state = 'TN' and adapter_key = 'tennessee_cpo_public' where source_family = 'sled' or adapter_key in ('indiana_idoa', 'tennessee_cpo_public') or starts_with(adapter_key, 'periscope_') or starts_with(adapter_key, 'jaggaer_') or starts_with(adapter_key, 'peoplesoft_')")
+def j14_source_states(spark, sf_dir):
+    number = F.col("source_id") % 6
+    key = F.when(number == 0, "indiana_idoa").when(number == 1, "tennessee_cpo_public").when(number == 2, "periscope_il").when(number == 3, "plain").otherwise(F.col("adapter_key"))
+    keyed = Tables(spark, sf_dir).sources.withColumn("adapter_key", key).where(coverage.is_state_source(F.col("adapter_key"), F.col("source_family")))
+    registry = spark.createDataFrame([(x,) for x in ("IN", "TN", "IL", "03", "04", "05", "10")], "state string")
+    joined = keyed.join(F.broadcast(registry), coverage.source_state(F.col("adapter_key")) == F.lower("state"))
+    return joined.select("state", "source_id", "adapter_key")
+
+
 @query("o3_document_order", "select distinct p_name, case when regexp_matches(p_name, '(?i)solicitation|rfp|rfq|ifb|invitation') then 0 when regexp_matches(p_name, '(?i)spec|scope|statement of work|sow') then 1 when regexp_matches(p_name, '(?i)addend|amend') then 2 when regexp_matches(p_name, '(?i)price|bid form|pricing') then 3 else 9 end::int as rank from part")
 def o3_document_order(spark, sf_dir):
     return Tables(spark, sf_dir).raw("part").select("p_name", queue.document_order(F.col("p_name")).alias("rank")).distinct()

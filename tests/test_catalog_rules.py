@@ -39,7 +39,7 @@ def test_status_and_confidence(spark):
     full = spark.createDataFrame([("federal", now, "n", ["1"], "s", "c", None, ["u"], "t", None, None), ("sled", None, None, [], None, None, None, None, None, None, now)], kept)
     assert [r[0] for r in full.select(classify.stored_confidence()).collect()] == [78, 45]
     card = spark.createDataFrame([(90, ["a", "b", "c", "d"], 50, ["u"], ["v"]), (None, None, 50, ["u"], ["v"]), (None, None, 76, ["u"], ["v"])], "match_score int, match_reasons array<string>, confidence int, uncertainty array<string>, verified array<string>")
-    assert [r[0] for r in card.select(classify.card_insight()).collect()] == ["a / b / c", "u", "v"]
+    assert [r[0] for r in card.select(classify.card_insight()).collect()] == ["a · b · c", "u", "v"]
 
 
 def test_document_links(spark):

@@ -45,11 +45,11 @@ def test_match(spark, profile, record, score, reasons):
     assert (got["match_score"], got["match_reasons"]) == (score, reasons)
 
 
-@pytest.mark.parametrize("counts, state, step", [((0, 0, 0, 0), "No package", "locate"), ((3, 1, 0, 2), "2 of 3 known documents are marked", "resolve missing"), ((3, 1, 0, 0), "2 of 3 known documents have not yet been fetched", "acquire"), ((3, 3, 2, 0), "1 of 3 fetched documents has not yet", "analyze"), ((2, 2, 2, 0), "All known", "review")])
+@pytest.mark.parametrize("counts, state, step", [((0, 0, 0, 0), "No bid-package", "Open the original source"), ((3, 1, 0, 2), "2 of 3 identified package documents are marked", "Resolve the missing"), ((3, 1, 0, 0), "2 of 3 identified package documents have not yet been fetched", "Acquire the remaining"), ((3, 3, 2, 0), "1 of 3 fetched package documents has not yet", "Analyze the remaining"), ((2, 2, 2, 0), "All currently identified", "Review verified")])
 def test_package_ladder(spark, counts, state, step):
     frame = spark.createDataFrame([counts], "identified long, fetched long, analyzed long, missing long")
     got = frame.select(rules.package_state().alias("s"), rules.next_step().alias("n")).first()
-    assert got["s"].startswith(state) and got["n"] == step
+    assert got["s"].startswith(state) and got["n"].startswith(step)
 
 
 LINES = [
