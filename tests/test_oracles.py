@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from bidweave.plans import catalog
+from bidweave.plans import catalog, packages  # noqa: F401  (registers its queries)
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
