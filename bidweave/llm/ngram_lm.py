@@ -14,7 +14,7 @@ pair of a block, spread evenly over key ranges whatever the words are:
    all words never seen in training.
 
 The words of an order-2 model are told apart by 64-bit hashes. Every pass reads and shuffles the
-text once; no pass gathers more than one block or one key range in a task, and only sums come to
+text once, and its shuffle files are deleted with the end of its write (``staging.stage``); no pass gathers more than one block or one key range in a task, and only sums come to
 the driver.
 
 Edge cases: null and empty texts hold the end token alone; null ids are scored and never held out;
@@ -25,9 +25,6 @@ read. Where counts of counts are too thin for Good-Turing ratios, a count r is d
 
 from __future__ import annotations
 
-import gc
-import time
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -154,15 +151,6 @@ def held_out(key: str) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % HELD_OUT_OF == HELD_OUT, F.lit(False))
 
 
-def _release(spark) -> None:
-    """Shuffle files go once the driver has collected the plans that made them: ask for that between
-    passes, so that disk holds one pass at a time."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(1)  # the cleaner works beside the driver
-
-
 def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
     spark = docs.sparkSession
@@ -206,8 +194,6 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     empty = [0] * (DISCOUNTED + 3)
     lower = Unigrams(*stats.get(WORDS, empty)[:2], stats.get(WORDS, empty)[2:])
     ratio = discounts(stats.get(PAIRS, empty)[2:])
-    del asked, added
-    _release(spark)
 
     replies = table.where("what = 'reply'").select("kind", "part", "block", "data")
 
@@ -242,8 +228,6 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     summed = blocks.cogroup(replies.groupBy("block")).applyInPandas(contexts, "part int, block int, keys binary, lost binary, seen binary, total binary")
     weighed = summed.groupBy("part").applyInPandas(weigh, "part int, block int, weight binary, below binary")
     backoff, backoff_path = stage(weighed, "ngram-backoff")
-    del summed, weighed
-    _release(spark)
 
     columns = ["kind", "part", "block", "data", "below"]
     every = replies.withColumn("below", F.lit(None).cast("binary")).select(*columns)
