@@ -285,13 +285,30 @@ def pick_landmarks(owners: list[np.ndarray], in_toxic: np.ndarray, in_clean: np.
 
 
 def _token_table(bodies: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Distinct readings of all texts, coded, and of each text the numbers of its own."""
-    parts = []
+    """Distinct readings of all texts, coded, and of each text the numbers of its own. Readings are sorted
+    by a 64-bit hash of their codes, which takes a third of the memory of sorting the codes themselves."""
+    odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+    parts, hashes = [], []
     for body in bodies:
-        readable = {r for t in set(text_tokens(body)) for r in readings(t.decode("utf-8", "replace"))}
-        parts.append(np.unique(coded(readable)))
-    words, at = np.unique(np.concatenate(parts), return_inverse=True)
-    return words, np.split(at.astype(np.int32), np.cumsum([len(p) for p in parts])[:-1])
+        readable = sorted({r for t in set(text_tokens(body)) for r in readings(t.decode("utf-8", "replace"))})
+        parts.append(coded(readable))
+        mixed = (parts[-1].view(np.uint64).reshape(-1, WINDOW // 8) * odd).sum(axis=1, dtype=np.uint64)
+        hashes.append((mixed ^ (mixed >> np.uint64(31))) * odd[1])
+    ends = np.cumsum([len(h) for h in hashes])
+    _, first, at = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    del hashes
+    owner = np.searchsorted(ends, first, "right")
+    words = np.zeros(len(first), f"S{WINDOW}")
+    starts = ends - np.array([len(p) for p in parts])
+    by_owner = np.argsort(owner, kind="stable")
+    cuts = np.searchsorted(owner[by_owner], np.arange(len(parts) + 1))
+    for k, part in enumerate(parts):
+        own = by_owner[cuts[k] : cuts[k + 1]]
+        words[own] = part[first[own] - starts[k]]
+    order = np.argsort(words, kind="stable")
+    rank = np.empty(len(words), np.int32)
+    rank[order] = np.arange(len(words), dtype=np.int32)
+    return words[order], [np.unique(x) for x in np.split(rank[at], ends[:-1])]
 
 
 class Trainer:
@@ -313,23 +330,23 @@ class Trainer:
         root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
         strange = np.array(sorted({v for t in sure.tolist() for v in disturbed(t)}), self.words.dtype)
         strange = strange[~np.isin(strange, self.words[self.other])]
-        tokens = kernel.values(self.words[self.candidates]) @ root.astype(np.float32)
+        able, norms = self.words[self.candidates], self.norms[self.candidates]
         certain, odd = kernel.values(sure) @ root, kernel.values(strange) @ root
         easy = kernel.values(self.words[self.usual[:: max(1, len(self.usual) // CLEAN_TOKENS)]]) @ root
         score = np.zeros(len(self.candidates))
-        score[np.isin(self.words[self.candidates], sure)] = 1.0
+        score[np.isin(able, sure)] = 1.0
         found = np.zeros(0, np.int64)
         hard = np.zeros((0, len(landmarks)))
         model = Model(kernel.table, 0.0, 1.0, 0.0)
         for turn in range(rounds):
             worst = np.array([own[np.argmax(score[own])] for own in self.owners if len(own)], np.int64)
             worst = worst[score[worst] > 0] if turn else worst  # a text that nothing explains teaches nothing
-            groups = [(tokens[worst], 1.0, 1.0), (certain, 1.0, 1.0), (odd, 1.0, 0.5), (easy, -1.0, 2.0), (hard, -1.0, 2.0)]
+            groups = [(kernel.values(able[worst]) @ root, 1.0, 1.0), (certain, 1.0, 1.0), (odd, 1.0, 0.5), (easy, -1.0, 2.0), (hard, -1.0, 2.0)]
             target = np.concatenate([np.full(len(g), t) for g, t, _ in groups])
             cost = np.concatenate([np.full(len(g), MARGIN_COST * 1000 * part / max(1, len(g))) for g, _, part in groups])
             w = squared_hinge(np.concatenate([g for g, _, _ in groups]).astype(np.float64), target, cost)
-            score = tokens @ w[:-1] + w[-1]
             model = Model(kernel.collapsed(root @ w[:-1]), float(w[-1]), 1.0, 0.0)
+            score = model.token_margins(able, norms)
             near = model.token_margins(self.words[self.other], self.norms[self.other])
             order = np.argsort(-near, kind="stable")[:HARD_TOKENS]
             more = np.setdiff1d(self.other[order[near[order] > -1]], found)
@@ -390,8 +407,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     usable = texts.select("key").join(known, "key").distinct().orderBy(F.xxhash64("key"), "key").limit(limit)
     # of equal texts with several labels the greatest counts, and of one id's texts the first
     rows = texts.join(F.broadcast(usable), "key").groupBy("body").agg(F.max("y").alias("y")).orderBy(F.md5("body")).limit(2 * limit).collect()
-    rows.sort(key=lambda r: bytes(r["body"]))
-    return fit([bytes(r["body"]) for r in rows], [r["y"] for r in rows])
+    pairs = sorted((bytes(r["body"]), r["y"]) for r in rows)
+    del rows
+    return fit([body for body, _ in pairs], [y for _, y in pairs])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> Column:
