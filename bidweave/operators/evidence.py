@@ -35,7 +35,11 @@ BOILERPLATE_NAME = "(^| )(w 9|w9|form 1295|1295 form|certificate of interested p
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``line`` (from 1) and the squeezed ``content`` of every line with content."""
-    split = docs.select(key, F.posexplode(F.split(text, r"\r?\n")).alias("pos", "raw"))
+    rows = docs.select(key, text)
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    if len(rows.inputFiles()) < tasks:  # a few files of one row group each would be read, split and searched by as few tasks
+        rows = rows.repartition(tasks)
+    split = rows.select(key, F.posexplode(F.split(text, r"\r?\n")).alias("pos", "raw")).where(F.col("raw").rlike(r"(?U)\S"))
     return split.select(key, (F.col("pos") + 1).alias("line"), squeezed(F.col("raw")).alias("content")).where("content <> ''")
 
 
