@@ -13,8 +13,9 @@ cell only cost time, since any order gives the same pairs.
 Candidates are held to a parity sketch first: of each text, one bit for each of at least 4 n buckets
 says whether an odd number of shingles falls there. Buckets that differ never outnumber the shingles
 that differ, so no pair of 0.8 fails. What is left is held to the exact similarity of the texts, but
-of those found later and still between two groups only one at a time: each group tests one candidate,
-those that pass are merged, and rounds go on until every candidate is inside a group or refuted.
+of those found later and still between two groups only some at a time: each group tests one candidate
+(in later rounds two, four and so on), those that pass are merged, and rounds go on until every
+candidate is inside a group or refuted.
 
 Texts that share much would give the square of their number. So each text first meets the hub of its
 buckets alone (the text with most shared shingles: an original has more than its altered copies), and
@@ -211,8 +212,9 @@ def _alike(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
 
 def _joined(pairs: DataFrame, bodies: DataFrame, links: DataFrame) -> DataFrame:
     """The roots that ``links`` and those of ``pairs`` that were needed give: of pairs between
-    two groups one for each group is tested at a time, until each joins nothing or has been refuted."""
-    roots = connected(links)
+    two groups some for each group are tested at a time, until each joins nothing or has been refuted.
+    Each round tests up to twice as many for a group as the one before, so that rounds stay few."""
+    roots, most = connected(links), 1
     while True:
         left, right = roots.toDF("u", "ru").hint("merge"), roots.toDF("v", "rv").hint("merge")
         rooted = pairs.join(left, "u", "left").join(right, "v", "left").select("u", "v", F.coalesce("ru", "u").alias("ru"), F.coalesce("rv", "v").alias("rv"))
@@ -220,7 +222,9 @@ def _joined(pairs: DataFrame, bodies: DataFrame, links: DataFrame) -> DataFrame:
         if pairs.isEmpty():
             return roots
         ends = pairs.select("u", "v", F.col("ru").alias("r")).union(pairs.select("u", "v", F.col("rv").alias("r")))
-        picked, _ = stage(ends.groupBy("r").agg(F.min(F.struct("u", "v")).alias("p")).select("p.u", "p.v").distinct(), "copy-picked")
+        share = F.pmod(F.xxhash64("u", "v"), F.lit(most)).alias("share")
+        picked, _ = stage(ends.groupBy("r", share).agg(F.min(F.struct("u", "v")).alias("p")).select("p.u", "p.v").distinct(), "copy-picked")
+        most *= 2
         links, _ = stage(links.union(_alike(picked, bodies)), "copy-links")
         roots = connected(links)
         pairs = pairs.join(picked, ["u", "v"], "left_anti").select("u", "v")
