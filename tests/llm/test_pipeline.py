@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from functools import cache
 
 import pytest
 
@@ -8,6 +9,7 @@ from bidweave.llm import nearcopies
 from bidweave.llm.queries import pipeline
 
 
+@cache
 def shingles(text):
     w = (text or "").encode().lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
