@@ -74,3 +74,26 @@ DATE_RULES = {
 
 def shown(c: Column) -> Column:
     return F.coalesce(F.date_format(c, "MMM d, yyyy"), F.lit("Not stated"))
+
+
+SLASHED = r"^(\d{1,2})/(\d{1,2})/(\d{4})"
+
+
+def slashed_parts(c: Column, pattern: str) -> tuple[Column, Column, Column]:
+    """Month, day and year as text; empty where the text is not of this form."""
+    return tuple(F.regexp_extract(c, pattern, i) for i in (1, 2, 3))
+
+
+def utc_day(c: Column, end_of_day: Column) -> Column:
+    """A bare month/day/year as midnight UTC, or the last second of that day; months and days beyond
+    the calendar run on into the next ones. Another text is null."""
+    month, day, year = (F.nullif(x, F.lit("")).cast("int") for x in slashed_parts(c, SLASHED + "$"))
+    first = F.add_months(F.make_date(year, F.lit(1), F.lit(1)), month - 1)
+    days = F.unix_date(F.date_add(first, day - 1)).cast("long")
+    return F.timestamp_seconds(days * 86_400 + F.when(end_of_day, END_OF_DAY).otherwise(0))
+
+
+def iso_day(c: Column) -> Column:
+    """``yyyy-MM-dd`` of a text that starts with month/day/year, whatever follows."""
+    month, day, year = slashed_parts(F.trim(F.regexp_replace(c, r"\s+", " ")), SLASHED)
+    return F.when(year != "", F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")))
