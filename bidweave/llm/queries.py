@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extraction, huffman, neardup, ngram_lm, packing, quality, sharding, topk, toxicity
-from .staging import new_path
+from . import alignment, bpe, extraction, huffman, lloyd, neardup, ngram_lm, packing, quality, sharding, topk, toxicity, warc
+from .staging import drop_stage, new_path, stage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,28 @@ def op10_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(_table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payload, kind and original of every page, read back from normalised archives."""
+    pages = _table(spark, sf_dir, "pages")
+    folder, kind = new_path(spark, "warc"), pages.schema["page_id"].dataType
+    warc.archive(pages, folder)
+    found = warc.read(warc.index(spark, f"{folder}/archives"))
+    ids = (F.col(c).cast(kind).alias(name) for c, name in (("key", "page_id"), ("refers_to", "refers_to")))
+    out, _ = stage(found.select(*ids, "payload_bytes", "payload_digest", F.col("type").alias("record_type")), "warc-result")
+    drop_stage(spark, folder)
+    return out
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between two tokenizers' ids of every document."""
+    return alignment.align(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op13_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and squared distance of every vector, with sums and centroid digests."""
+    return lloyd.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules, toxicity, near-duplicates and packing, one after another."""
     import corpus_pipeline
@@ -102,6 +124,9 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_simhash_neardup": op9_simhash_neardup,
     "op10_katz_lm": op10_katz_lm,
+    "op11_warc": op11_warc,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_lloyd": op13_lloyd,
     "pipeline": pipeline,
 }
 

@@ -6,6 +6,7 @@ folder named by ``spark.checkpoint.dir``; a lost executor then costs a reread, n
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -20,10 +21,31 @@ SPACE_CLASS = r"\x20\x09-\x0D"
 
 
 #: While a table is written, this setting has Spark delete the shuffle files of its plan at the end; nobody
-#: runs that plan again, since all that follows reads the table.
+#: runs that plan again, since all that follows reads the table. A query of the same session that another
+#: thread starts meanwhile loses its shuffle files at its end too, which costs it nothing but reuse.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _scopes: list[list[str]] = []
+_writing: dict[int, tuple[int, str]] = {}  # of each session that writes: how many writes, and the setting before them
+_lock = threading.Lock()
+
+
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """The setting stands from the first of a session's writes under way to the end of the last."""
+    with _lock:
+        count, before = _writing.get(id(spark), (0, spark.conf.get(SHUFFLE_CLEANUP, "false")))
+        _writing[id(spark)] = count + 1, before
+        spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            count, before = _writing.pop(id(spark))
+            if count > 1:
+                _writing[id(spark)] = count - 1, before
+            else:
+                spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,25 +57,38 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def stage(df: DataFrame, label: str, codec: str = "zstd", partition_by: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
-    """Write ``df`` to a new folder and return it reread, with the folder's path."""
+    """Write ``df`` to a new folder and return it reread, with the folder's path.
+
+    The folder goes with the application, if nobody drops it earlier: what a returned result is
+    read from has no other owner.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
     writer = df.write.option("compression", codec)
     if _scopes:
         _scopes[-1].append(path)
-    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
+    with _shuffles_dropped(spark):
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+    drop_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def _place(spark: SparkSession, path: str) -> tuple:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def drop_stage(spark: SparkSession, path: str) -> None:
     """Delete a staged table that no later plan reads."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    store, target = _place(spark, path)
+    store.delete(target, True)
+    store.cancelDeleteOnExit(target)
+
+
+def drop_at_end(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the driver ends."""
+    store, target = _place(spark, path)
+    store.deleteOnExit(target)
 
 
 @contextmanager
