@@ -2,7 +2,9 @@
 
 A page becomes a row of text blocks with the elements they stand in. A logistic classifier of the
 block's text gives one cost for calling it content and one for calling it boilerplate; the elements'
-names and roles add theirs, of which classes and ids have a bounded one that the nearest mark replaces. These costs are the capacities to the two terminals. Blocks next to each
+names and roles add theirs, and so do classes and ids, of which the nearest that says something counts.
+All are on one scale, so that a wrong element can be outweighed by its own name, its text and its
+neighbours. A header inside an article is part of it. These costs are the capacities to the two terminals. Blocks next to each
 other, and blocks with the same parent, are tied by smoothness edges that weaken with the distance
 in the tree. The minimum cut is the labelling of least total cost.
 
@@ -30,9 +32,10 @@ SAMPLE_PAGES = 1000
 ADJACENT = 1.0
 SIBLING = 1.0
 REACH = 2.0
-ELEMENT = 8.0
+ELEMENT = 5.0
 ARTICLE = 5.0
 NAMED = 4.0
+FOREIGN_NAMED = 6.0  # of names that only ever belong to something beside the article
 
 # Elements of HTML by their part in a page.
 BLOCK_ELEMENTS = frozenset(
@@ -55,16 +58,20 @@ DROPPED_ELEMENTS = RAW_ELEMENTS | frozenset("svg template object annotation anno
 BOILERPLATE_ELEMENTS = frozenset("nav footer header aside menu search".split())
 CONTENT_ELEMENTS = frozenset("article main".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar alert dialog alertdialog status".split())
-#: A class or id whose parts are all of these or of NEUTRAL_PARTS, one of these at least, marks what is not the article.
+#: Parts of a class or id that mark what is not the article when they are its head, the last part that says what it is.
 BOILERPLATE_PARTS = re.compile(
     r"ads?|adverts?|advertis\w*|adslot|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w*"
     r"|comments?|commentlist|replies|respond|disqus|discussion|sidebar|side|aside|widgets?|related|recommend\w*|trending|more|menu|nav|navbar|navigation|breadcrumbs?"
-    r"|pagination|pager|toc|header|masthead|topbar|footer|bottombar|copyright|legal|social|share|sharing|login|signup|search|form|tags?|skip|tools?|toolbar|hidden",
-    re.I,
+    r"|pagination|pager|toc|header|masthead|topbar|footer|bottombar|copyright|legal|social|share|sharing|login|signup|search|form|tags?|skip|tools?|toolbar|hidden"
 )
+#: Of these, the ones that mark it before any other head too.
+FOREIGN_PARTS = re.compile(r"ads?|adverts?|advertis\w*|adslot|sponsor\w*|cookies?|consent|gdpr|newsletter|comments?|commentlist|disqus|sidebar|widgets?|breadcrumbs?|menu|nav|navbar|navigation|footer|masthead|topbar|pagination")
 NEUTRAL_PARTS = frozenset("a an the and of to by in all area bar block box bottom boxes btn button buttons container grid group inner item items left links list outer panel posts right row rows section site slot stories top unit wrap wrapper".split())
+CONTENT_PARTS = frozenset("article content entry post story main text body".split())
+CONTAINER_PARTS = NEUTRAL_PARTS | frozenset("content text body main".split())
+#: A name with one of these says how a page is laid out, not what the element is.
+LAYOUT_PARTS = frozenset("has have with without no not is free hide show".split())
 PART = re.compile(r"[_-]+|\d+")
-CONTENT_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|entry|post|story|main|text|body)(?:$|[\s_-])", re.I)
 #: An opening element ends an open one of these inside the same list, table or definition list.
 CLOSED_BY = {"li": "li", "dd": "dd dt", "dt": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 SCOPES = frozenset("ul ol table dl select html menu".split())
@@ -76,18 +83,34 @@ WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[.!?…。](?:\s|$)")
 
 
-def _named_boilerplate(names: str) -> bool:
-    """Whether a class or id of ``names`` says nothing but that it is not the article."""
-    for name in names.split():
-        parts = [p for p in PART.split(name) if p]
-        marks = [bool(BOILERPLATE_PARTS.fullmatch(p)) for p in parts]
-        if any(marks) and all(m or p.lower() in NEUTRAL_PARTS for m, p in zip(marks, parts)):
-            return True
-    return False
+def _name_mark(name: str) -> float:
+    """What one class or id says: above zero for the article, below for something else, zero for nothing.
+
+    Container words at the end are passed over (``comment-body`` is a comment); a header is only
+    one of the page if its name has no word for the article.
+    """
+    parts = [p for p in PART.split(name.lower()) if p]
+    if not parts or not LAYOUT_PARTS.isdisjoint(parts):
+        return 0.0
+    head = len(parts) - 1
+    while head and parts[head] in CONTAINER_PARTS:
+        head -= 1
+    story = not CONTENT_PARTS.isdisjoint(parts)
+    if any(FOREIGN_PARTS.fullmatch(p) for p in parts):
+        return -FOREIGN_NAMED
+    if BOILERPLATE_PARTS.fullmatch(parts[head]) and not (story and parts[head] == "header"):
+        return -NAMED
+    return NAMED if story else 0.0
+
+
+def names_mark(names: str) -> float:
+    """What all classes and ids say: one that names something else outweighs those that name the article."""
+    marks = [_name_mark(n) for n in names.split()]
+    return min(min(marks), 0.0) or max(marks) if marks else 0.0
 
 
 class Element:
-    __slots__ = ("name", "parent", "depth", "dropped", "boilerplate", "mark", "link", "foreign")
+    __slots__ = ("name", "parent", "depth", "dropped", "boilerplate", "inside", "mark", "link", "foreign")
 
     def __init__(self, name: str, parent: Element | None, attributes: str = ""):
         self.name, self.parent = name, parent
@@ -95,25 +118,28 @@ class Element:
         self.foreign = (name in FOREIGN_ELEMENTS or bool(parent and parent.foreign)) and name not in HTML_AGAIN
         self.link = name == "a" or bool(parent and parent.link)
         self.dropped = name in DROPPED_ELEMENTS or bool(parent and parent.dropped)
-        self.boilerplate = name in BOILERPLATE_ELEMENTS or bool(parent and parent.boilerplate)
-        self.mark = ARTICLE if name in CONTENT_ELEMENTS else parent.mark if parent else 0.0  # the nearest marks count
+        given = {}
         if attributes and not attributes.isspace():
-            self._read(attributes)
-
-    def _read(self, attributes: str) -> None:
-        given = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
-        names, role = f"{given.get('class', '')} {given.get('id', '')}", given.get("role", "").lower()
+            given = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
+            bare = ATTRIBUTE.sub(" ", attributes).lower().split()
+            unseen = HIDDEN_STYLE.search(given.get("style", ""))
+            self.dropped |= "hidden" in bare or given.get("aria-hidden", "").lower() == "true" or bool(unseen)
+        self._place(given.get("role", "").lower(), f"{given.get('class', '')} {given.get('id', '')}")
+
+    def _place(self, role: str, names: str) -> None:
+        """Part of the page that the element is, and the mark of the nearest element that has one."""
+        parent, outer = self.parent, self.name in ("html", "body")
+        within = bool(parent and parent.boilerplate)
         article = self.name in CONTENT_ELEMENTS or role in ("main", "article")
-        story = bool(CONTENT_NAMES.search(names))
-        other = False
-        if self.name not in ("html", "body"):
-            self.boilerplate |= role in BOILERPLATE_ROLES
-            other = _named_boilerplate(names)
-        if article or story or other:
-            self.mark = (ARTICLE if article else NAMED if story else 0.0) - (NAMED if other else 0.0)
-        bare = ATTRIBUTE.sub(" ", attributes).lower().split()
-        unseen = HIDDEN_STYLE.search(given.get("style", ""))
-        self.dropped |= "hidden" in bare or given.get("aria-hidden", "").lower() == "true" or bool(unseen)
+        self.inside = article or bool(parent and parent.inside)
+        own = self.name in BOILERPLATE_ELEMENTS and not (self.name == "header" and self.inside) or role in BOILERPLATE_ROLES and not outer
+        self.boilerplate = within or own
+        self.mark = 0.0 if own or not parent else parent.mark
+        named = 0.0 if outer and names_mark(names) < 0 else names_mark(names)
+        if article or named:
+            foreign = named <= -FOREIGN_NAMED  # an article element that is named a comment is one
+            mark = named if foreign else (ARTICLE if article else max(named, 0.0)) + min(named, 0.0)
+            self.mark = mark / 2 if within and mark > 0 else mark
 
 
 class TextBlock:
@@ -312,7 +338,7 @@ def _apart(a: Element, b: Element) -> int:
 
 def content(found: list[TextBlock], weights: np.ndarray) -> list[bool]:
     text_gain = np.clip(np.array([features(b) for b in found]) @ weights, -3, 3)
-    gain = [g - ELEMENT if b.element.boilerplate else g + b.element.mark for g, b in zip(text_gain.tolist(), found)]
+    gain = [g + b.element.mark - ELEMENT * b.element.boilerplate for g, b in zip(text_gain.tolist(), found)]
     edges, last = [], {}
     for i, b in enumerate(found):
         if i:

@@ -48,7 +48,7 @@ def features(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
     """Counts of each whole text, beside the columns ``keep``."""
     space = f"[{SPACE_CLASS}]+"
     base = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    base = base.withColumn("_w", F.split(F.regexp_replace("_t", f"^{space}|{space}$", ""), space))
+    base = base.withColumn("_w", F.split(F.regexp_replace("_t", rf"\A{space}|{space}\z", ""), space))
     base = base.withColumn("_w", F.when(F.element_at("_w", 1) == "", F.slice("_w", 1, 0)).otherwise(F.col("_w")))
     base = base.withColumn("_n", F.size("_w").cast("long"))
     window = lambda i: F.xxhash64(F.slice("_w", i, WINDOW))
@@ -79,7 +79,7 @@ def features(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("_l").cast("long").alias("n_lines"),
         F.size(F.array_distinct("_w")).cast("long").alias("n_distinct"),
-        F.regexp_count("_t", F.lit(rf"[.!?]+(?=[{SPACE_CLASS}]|$)")).cast("long").alias("n_stops"),
+        F.regexp_count("_t", F.lit(rf"[.!?]+(?=[{SPACE_CLASS}]|\z)")).cast("long").alias("n_stops"),
         F.length(F.regexp_replace("_t", "[^A-Z]+", "")).cast("long").alias("n_capitals"),
         F.regexp_count("_t", F.lit("[#*$%&|<>]+")).cast("long").alias("n_marked"),
         F.length(F.regexp_replace("_t", r"[^\p{L}]+", "")).cast("long").alias("n_letters"),

@@ -27,7 +27,7 @@ def test_minimum_cut_against_all_labellings():
 
 
 def test_all_pages(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     html = {r["page_id"]: r["html"] for r in pages.collect()}
     rows = extraction.extract(pages).collect()
     assert len(rows) == len(html)
@@ -89,3 +89,49 @@ def test_names_of_wrappers_do_not_lose_the_article():
         assert extraction.main_text(f'<nav><a href=x>Home</a></nav><div class="{name}">{body}</div>') == text
     ad = '<div class="ad-box">Buy it now</div>'
     assert extraction.main_text(f"<article>{body}</article>{ad}") == text
+
+
+STORY = "\n".join(f"Paragraph {i} of the story is long enough to be read as such. It goes on for a while." for i in "abcd")
+STORY_HTML = "".join(f"<p>{p}</p>" for p in STORY.split("\n"))
+REMARK = "I read this twice and still do not agree with a word of it. What does the author think of us?"
+
+
+def weights(spark):
+    return [extraction.DEFAULT, extraction.train(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))]
+
+
+def test_comments_sidebars_footers_and_notices_go(spark):
+    around = "<body><nav><ul><li><a href=x>Home</a></ul></nav>%s<footer>end</footer>"
+    foreign = [
+        f'<div id="reader-comments"><p>{REMARK}</p><p>{REMARK}</p></div>', f'<ol><li class="comment-body"><p>{REMARK}</p></li><li class="comment-body"><p>{REMARK}</p></li></ol>',
+        f'<div class="comment-content"><p>{REMARK}</p></div>', f'<div class="sidebar-content"><p>{REMARK}</p></div>', f'<div class="footer-text"><p>{REMARK}</p></div>', f'<div class="cookie-text"><p>{REMARK}</p></div>',
+        f'<article class="comment-body"><p>{REMARK}</p></article>', f'<div class="post-comments"><p>{REMARK}</p></div>',
+    ]
+    for w in weights(spark):
+        for part in foreign:
+            for wrapped in (f"<article>{STORY_HTML}</article>{part}", f"{part}<article>{STORY_HTML}</article>", f'<div class="post-content">{STORY_HTML}</div>{part}', f"<article>{STORY_HTML}{part}</article>"):
+                assert extraction.main_text(around % wrapped, w) == STORY, wrapped
+
+
+def test_headlines_in_the_articles_own_header_stay(spark):
+    for w in weights(spark):
+        for shell in ("<article>%s</article>", "<main>%s</main>", "<div role=main>%s</div>"):
+            page = "<body><header><h1>Name of the site</h1></header>" + shell % f"<header><h1>A headline of five words</h1></header>{STORY_HTML}"
+            assert extraction.main_text(page, w) == "A headline of five words\n" + STORY
+        named = f'<div class="entry"><div class="entry-header"><h1>A headline of five words</h1></div>{STORY_HTML}</div>'
+        assert extraction.main_text(named, w) == "A headline of five words\n" + STORY
+
+
+def test_the_cut_outweighs_a_wrong_element(spark):
+    for w in weights(spark):
+        wrong = f'<body><nav><a href=x>Home</a></nav><aside class="story">{STORY_HTML}</aside><footer>end</footer>'
+        assert extraction.main_text(wrong, w) == STORY
+        right = f'<body><article>{STORY_HTML}</article><aside><div class="content"><p>{REMARK}</p></div></aside>'
+        assert extraction.main_text(right, w) == STORY
+        assert extraction.main_text(f"<body><article>{STORY_HTML}<aside><p>{REMARK}</p></aside>{STORY_HTML}</article>", w) == STORY + "\n" + STORY
+
+
+def test_names():
+    assert all(extraction.names_mark(n) < 0 for n in ("comment-body", "reader-comments", "sidebar-content", "cookie_text", "post-footer", "page-header", "entry-content comment", "social"))
+    assert all(extraction.names_mark(n) > 0 for n in ("content has-sidebar", "post tag-news", "legal-article", "main-content", "entry-header", "article_body", "post-12"))
+    assert all(extraction.names_mark(n) == 0 for n in ("", "tag-news", "social-studies", "page-with-side", "more-news", "ad-free", "row"))

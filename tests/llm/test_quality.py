@@ -31,6 +31,15 @@ def test_counts_against_brute_force(docs, awkward, nothing):
         assert got == sorted((str(r["doc_id"]), *counts(r["text"])) for r in table.collect())
 
 
+def test_line_separators_at_the_end_are_words(spark):
+    """White space before a final U+0085, U+2028 or U+2029 separates words like any other."""
+    ends = ["\u0085", "\u2028", "\u2029", "\r\n", "\n", ""]
+    texts = [f"{a}one two {b}{c}" for a in ends for b in ends for c in ends] + [f"foo {e}" for e in ends] + ends
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in quality.score(table).collect()}
+    assert got == {i: counts(t) for i, t in enumerate(texts)}
+
+
 def test_failed_rows_are_not_kept(docs):
     rows = quality.score(docs).collect()
     assert not any(r["kept"] and r["base_failed"] for r in rows) and all(0 <= r["quality"] <= 1 for r in rows)
