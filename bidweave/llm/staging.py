@@ -25,7 +25,15 @@ SPACE_CLASS = r"\x20\x09-\x0D"
 #: thread starts meanwhile loses its shuffle files at its end too, which costs it nothing but reuse.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-_scopes: list[list[str]] = []
+
+class _Scopes(threading.local):
+    """Of each thread, the open scopes and the paths staged in them."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_scopes = _Scopes()
 _writing: dict[int, tuple[int, str]] = {}  # of each session that writes: how many writes, and the setting before them
 _lock = threading.Lock()
 
@@ -65,8 +73,8 @@ def stage(df: DataFrame, label: str, codec: str = "zstd", partition_by: tuple[st
     spark = df.sparkSession
     path = new_path(spark, label)
     writer = df.write.option("compression", codec)
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.open:
+        _scopes.open[-1].append(path)
     with _shuffles_dropped(spark):
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     drop_at_end(spark, path)
@@ -100,14 +108,14 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[tuple[DataFrame, str]], D
         kept.append(staged[1])
         return staged[0]
 
-    _scopes.append([])
+    _scopes.open.append([])
     try:
         yield keep
     finally:
-        for path in _scopes.pop():
+        for path in _scopes.open.pop():
             if path in kept:
-                if _scopes:
-                    _scopes[-1].append(path)
+                if _scopes.open:
+                    _scopes.open[-1].append(path)
             else:
                 drop_stage(spark, path)
 
@@ -115,19 +123,11 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[tuple[DataFrame, str]], D
 @contextmanager
 def noted(paths: list[str]) -> Iterator[None]:
     """Adds to ``paths`` the tables staged inside that are still there at its end."""
-    _scopes.append([])
+    _scopes.open.append([])
     try:
         yield
     finally:
-        paths += _scopes.pop()
-
-
-def drop_unread(spark: SparkSession, paths: list[str], table: DataFrame) -> None:
-    """Deletes, and takes out of the list, those of ``paths`` that ``table`` is not read from."""
-    files = table.inputFiles()
-    for path in [p for p in paths if not any(p in file for file in files)]:
-        paths.remove(path)
-        drop_stage(spark, path)
+        paths += _scopes.open.pop()
 
 
 def shuffle_width(spark: SparkSession) -> int:

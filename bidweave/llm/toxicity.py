@@ -15,7 +15,7 @@ A text's margin is that of its most toxic token; runs
 of pieces of one or two letters count as one token, and a token of over WINDOW letters is read in overlapping
 windows. A logistic curve fitted to the training texts turns the margin into a probability.
 
-Fitted on FIT_DOCS labelled texts at most, of FIT_BYTES at most, picked by hash of the id; scoring
+Fitted on FIT_DOCS labelled texts at most, of FIT_BYTES each and FIT_SUM together at most, picked by hash of the id; scoring
 reads every text in full, in one pass without a shuffle.
 
 Edge cases: null and empty texts have the margin of a text without tokens; rows with a null id are
@@ -33,7 +33,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .wordtokens import by_bytes
@@ -47,6 +47,7 @@ WINDOW, STRIDE = 24, 12
 FIRST, LAST = "\x02", "\x03"  # the ends of a token are letters too: a stem is not the words that start with it
 FIT_DOCS = 6_000
 FIT_BYTES = 100_000
+FIT_SUM = 64 << 20
 CLEAN_TOKENS = 6_000
 HARD_TOKENS = 1_500
 ROUNDS = 4
@@ -399,17 +400,31 @@ def held_out(key: str) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % HELD_OUT_OF == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", limit: int = FIT_DOCS) -> Model:
-    """Fit on the labelled texts that are not held out."""
+def _fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row with the machine fitted to all rows; they are ordered first, so their order does not matter."""
+    pairs = sorted((bytes(body), int(y)) for batch in batches for body, y in zip(batch["body"], batch["y"]))
+    model = fit([body for body, _ in pairs], [y for _, y in pairs])
+    yield pd.DataFrame({"table": [model.table.astype("<f4").tobytes()], "bias": [model.bias], "slope": [model.slope], "offset": [model.offset]})
+
+
+def sample(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", limit: int = FIT_DOCS, most_bytes: int = FIT_SUM) -> DataFrame:
+    """``body``, ``y`` of the labelled texts to fit on, none of them held out; bounded in rows and in bytes."""
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")).where(F.col("key").isNotNull() & F.col("y").isin(0, 1) & ~held_out("key"))
     known = known.groupBy("key").agg(F.max("y").alias("y"))
     texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body")).where(F.octet_length("body") <= FIT_BYTES)
-    usable = texts.select("key").join(known, "key").distinct().orderBy(F.xxhash64("key"), "key").limit(limit)
+    able = texts.select("key", F.octet_length("body").alias("size")).join(known, "key").groupBy("key", "y").agg(F.max("size").alias("size"))
+    order = [F.xxhash64("key"), F.col("key")]
+    first = able.orderBy(*order).limit(limit)  # so the window below has at most that many rows
+    usable = first.withColumn("sum", F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") <= most_bytes).select("key", "y")
     # of equal texts with several labels the greatest counts, and of one id's texts the first
-    rows = texts.join(F.broadcast(usable), "key").groupBy("body").agg(F.max("y").alias("y")).orderBy(F.md5("body")).limit(2 * limit).collect()
-    pairs = sorted((bytes(r["body"]), r["y"]) for r in rows)
-    del rows
-    return fit([body for body, _ in pairs], [y for _, y in pairs])
+    return texts.join(F.broadcast(usable), "key").groupBy("body").agg(F.max("y").alias("y")).orderBy(F.md5("body")).limit(2 * limit)
+
+
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", limit: int = FIT_DOCS) -> Model:
+    """Fit on the sample, in one task; the driver receives the machine's table alone."""
+    rows = sample(docs, labels, text, key, label, limit)
+    made = rows.coalesce(1).mapInPandas(_fitted, "table binary, bias double, slope double, offset double").first()
+    return Model(np.frombuffer(bytes(made["table"]), "<f4"), made["bias"], made["slope"], made["offset"]) if made else fit([], [])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> Column:

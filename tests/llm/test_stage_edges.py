@@ -1,5 +1,6 @@
 """Pipeline stages and the vote model on awkward rows, clashing names and empty tables."""
 
+import pathlib
 from collections import Counter
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from bidweave.llm import quality
+from bidweave.llm.staging import shared_dir
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +40,35 @@ def test_filters_keep_whole_rows(spark, odd, nothing, labelled, place):
     assert step(spark, nothing, labelled).columns == nothing.columns
 
 
+@pytest.mark.parametrize("place", [2, 3])
+def test_near_copies_and_packing_on_odd_rows(spark, odd, nothing, labelled, place):
+    _, step = corpus_pipeline.STAGES[place]
+    clash = odd.withColumns({n: F.lit(f"own {n}") for n in ("tid", "root", "body", "size", "n")})
+    after = step(spark, clash, labelled)
+    ids, kept = Counter(r["doc_id"] for r in clash.select("doc_id").collect()), Counter(r["doc_id"] for r in after.select("doc_id").collect())
+    assert set(kept) <= set(ids)
+    if place == 2:
+        assert after.columns == clash.columns and not kept - ids
+    else:
+        assert set(kept) == set(ids)
+    assert step(spark, nothing, labelled).collect() == []
+
+
+def test_interleaved_stages_do_not_delete_each_others_tables(spark, docs, labelled):
+    one = corpus_pipeline.quality_rules(spark, docs, labelled)
+    two = corpus_pipeline.quality_rules(spark, docs.where("doc_id % 2 = 0"), labelled)
+    fewer = corpus_pipeline.one_of_each(spark, two, labelled)
+    assert one.count() > two.count() >= fewer.count() > 0 and one.count() > 0
+
+
+def test_a_run_leaves_its_result_alone(spark):
+    folder = pathlib.Path(shared_dir(spark))
+    before = {p.name for p in folder.iterdir()}
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0
+    assert [n.rsplit("-", 1)[0] for n in {p.name for p in folder.iterdir()} - before] == ["pipeline-best_fit_packing"]
+
+
 def test_quality_drops_null_and_short_texts(spark, odd, labelled):
     kept = corpus_pipeline.quality_rules(spark, odd, labelled).collect()
     assert all(r["text"] is not None and len(r["text"].split()) >= quality.MIN_WORDS for r in kept)

@@ -87,10 +87,8 @@ def test_gaps_of_any_letters_and_width():
     assert toxicity.text_tokens(b"an idiot") == [b"an", b"idiot"]
 
 
-def test_labels_without_usable_texts_use_up_no_places(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(toxicity, "fit", lambda bodies, y: seen.extend(bodies))
+def test_labels_without_usable_texts_use_up_no_places(spark):
     docs = spark.createDataFrame([(i, f"text {i}" if i % 2 else "long " * 30_000) for i in range(200)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 3 % 2) for i in range(1000)], "doc_id long, toxic int")
-    toxicity.train(docs, labels, limit=40)
-    assert len(seen) == 40
+    assert toxicity.sample(docs, labels, limit=40).count() == 40
+    assert toxicity.sample(docs, labels, limit=40, most_bytes=100).count() <= 100 / len("text 1")
