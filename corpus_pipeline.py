@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 reread as the next stage's ``docs``. The first three return the columns of ``documents`` for the
-rows they keep; the last returns every piece of every document left, with its sequence. Tables that
-one stage's result was read from are deleted when the next one starts from its written copy.
+rows they keep; the last returns every piece of every document left, with its sequence. ``run`` owns
+the tables that its stages leave: once a stage's result is written, those it was read from go, and so does the
+copy before it. What a stage called by itself leaves goes with the application.
 
 Edge cases, alike in all stages: an empty table gives an empty result; columns that are null are
 carried along, a null text counts as empty (quality drops it); rows with a null id are judged like
@@ -13,48 +14,28 @@ under their names, whatever these are, by all but the last stage.
 
 from __future__ import annotations
 
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 
 from bidweave.llm import nearcopies, packing, quality, toxicity
-from bidweave.llm.staging import drop_unread, noted, stage
-
-_left: list[str] = []  # tables that an earlier stage's result is read from
-
-
-def _after_earlier(step):
-    """``step`` with the tables of the stages before it deleted, unless its input is still read from them."""
-
-    @wraps(step)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_unread(spark, _left, docs)
-        with noted(_left):
-            return step(spark, docs, sf_dir)
-
-    return run
+from bidweave.llm.staging import drop_stage, noted, stage
 
 
-@_after_earlier
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior quality is at least one half."""
     return quality.keep_good(docs)
 
 
-@_after_earlier
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the machine, fitted on the labelled ones among them, does not call toxic."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(toxicity.score(docs, model) < 0.5).select(*docs.columns)
 
 
-@_after_earlier
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each group of near copies."""
     return nearcopies.keep_one(docs)
 
 
-@_after_earlier
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, best fitted into sequences of the permitted lengths."""
     return packing.pack(docs)
@@ -68,7 +49,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, step in STAGES[:-1]:
-        docs, _ = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs, left = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, step in STAGES:
+        own: list[str] = []
+        with noted(own):
+            made = step(spark, docs, sf_dir)
+        docs, path = stage(made, f"pipeline-{name}")
+        for unread in left + own:
+            drop_stage(spark, unread)
+        left = [path]
+    return docs
