@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .bpe import _byte_letters
 from .staging import scratch, stage
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
 BATCH = 4_000  # segments given to a tokenizer at a time
 ANCHOR = "a"  # stands before a segment, so that the second tokenizer's own first space is not the segment's
 
@@ -91,6 +91,8 @@ class TokenPair:
         self.bytes_a: dict[int, bytes] = {i: e.encode() if e in special else bytes(alphabet[c] for c in e) for e, i in self.a.get_vocab().items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        if not all(self.bytes_a.values()) or not all(self.bytes_b):
+            raise ValueError("an entry without bytes would end where another ends")
         entries = [e.decode(errors="replace") for e in (*self.bytes_a.values(), *self.bytes_b)]
         self.segments = Segments(cut_characters(entries))
         self.lead = self.b.encode(ANCHOR, num_threads=1)
@@ -119,7 +121,7 @@ class TokenPair:
             i = j = from_i = from_j = 0
             while i < len(a) and j < len(b):
                 if ends_a[i] == ends_b[j]:
-                    links.append((a[i], b[j]))
+                    links.append((a[i], b[j]))  # no entry is empty, so a group ends in one link
                     groups.append(",".join(map(str, a[from_i : i + 1])) + "|" + ",".join(map(str, b[from_j : j + 1])))
                     from_i, from_j = i + 1, j + 1
                     i, j = i + 1, j + 1
@@ -127,7 +129,7 @@ class TokenPair:
                     i += 1
                 else:
                     j += 1
-            yield {"n_a": len(a), "n_b": len(b), "n_groups": len(groups), "groups": ";".join(groups), "links": links}
+            yield {"n_a": len(a), "n_b": len(b), "groups": ";".join(groups), "links": links}
 
 
 _pairs: dict[tuple[str, str], TokenPair] = {}
@@ -185,7 +187,7 @@ def _aligned(words: DataFrame, paths: tuple[str, str]) -> DataFrame:
                 yield pd.concat([part.reset_index(drop=True), made], axis=1)
 
     distinct = words.groupBy("segment").agg(F.sum("times").alias("times"))
-    aligned = distinct.mapInPandas(run, "segment string, times long, n_a int, n_b int, n_groups int, groups string, links array<struct<a:int,b:int>>")
+    aligned = distinct.mapInPandas(run, "segment string, times long, n_a int, n_b int, groups string, links array<struct<a:int,b:int>>")
     return aligned.withColumn("sid", F.monotonically_increasing_id())
 
 
@@ -202,6 +204,7 @@ def _composed(paths: tuple[str, str]):
 
     def run(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         words = words.sort_values("local")
+        words["n_groups"] = words["n_links"] = words["groups"].str.count(";") + 1
         values, groups = words[numbers].to_numpy(np.int64).reshape(-1, len(numbers)), words["groups"].tolist()
         sums, digests = np.zeros((len(docs), len(numbers)), np.int64), []
         for k, packed in enumerate(docs["ids"]):
@@ -223,8 +226,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text", key: st
         aligned, _ = stage(_aligned(words, paths), "align-segments")
         counts, _ = stage(link_counts(aligned), "align-pairs")
         links = aligned.select("sid", F.explode("links").alias("l")).select("sid", "l.a", "l.b").join(counts.hint("merge"), ["a", "b"])
-        weighed = links.groupBy("sid").agg(F.count("*").alias("n_links"), F.sum(F.col("best").cast("int")).alias("n_best"), F.sum("count").alias("count_sum"))
-        known = aligned.select("sid", "segment", "n_a", "n_b", "n_groups", "groups").join(weighed.hint("merge"), "sid")
+        weighed = links.groupBy("sid").agg(F.sum(F.col("best").cast("int")).cast("int").alias("n_best"), F.sum("count").alias("count_sum"))
+        known = aligned.select("sid", "segment", "n_a", "n_b", "groups").join(weighed.hint("merge"), "sid")
         joined = words.select("block", "local", "segment").join(known.hint("merge"), "segment")
         back = keep(stage(joined.drop("segment", "sid"), "align-words"))
     compose, schema = _composed(paths)
