@@ -92,7 +92,28 @@ AGENCY_RULES: dict[str, tuple[tuple[tuple[str, str], ...], str]] = {
         ),
         "state_agency",
     ),
+    "mississippi": ((("education", "university|college|school|education"), ("local_agency", "county|city|town|village|municip|utility|water|airport|authority|district")), "state_agency"),
+    "north_carolina": (
+        (
+            ("k12", "school|board of education|public schools|academy"),
+            ("higher_ed", "university|college|community college"),
+            ("county", "(?<![a-z0-9_])county(?![a-z0-9_])"),
+            ("municipality", "(?<![a-z0-9_])city(?![a-z0-9_])|(?<![a-z0-9_])town(?![a-z0-9_])|(?<![a-z0-9_])village(?![a-z0-9_])|municipal"),
+            _AUTHORITY,
+        ),
+        "state_agency",
+    ),
+    "nebraska": ((("k12", "school|education"), ("higher_ed", "university|college"), ("county", "county"), ("municipality", "city|town|village|municipal")), "state_agency"),
+    "washington": ((("k12", "school|school district|public instruction"), ("higher_ed", "university|college|community college"), ("county", "county"), ("municipality", "city|town|municipal")), "state_agency"),
+    "wyoming": ((("k12", "education|school"), ("higher_ed", "university|college")), "state_agency"),
+    "none": ((), "state_agency"),
 }
+#: The level of government of each kind of agency, where it is not "local".
+STATE_LEVEL: dict[str, tuple[str, ...]] = {
+    "florida": ("state_agency",), "mississippi": ("state_agency",), "hawaii": ("education", "state_agency"), "virginia": ("higher_ed", "state_agency"), "periscope": ("higher_ed", "state_agency"),
+    "arizona": ("higher_ed", "state_agency"), "advantage": ("higher_ed", "state_agency"), "california": ("higher_ed", "k12", "authority", "state_agency"), "north_carolina": ("higher_ed", "authority", "state_agency"),
+    "nebraska": ("k12", "higher_ed", "state_agency"), "washington": ("k12", "higher_ed", "state_agency"), "wyoming": ("k12", "higher_ed", "state_agency"), "none": ("state_agency",),
+}
 
 # Solicitation types by words of the title or number, in order, with what stands where none hits.
 SOLICITATION_RULES: dict[str, tuple[tuple[tuple[str, str], ...], str]] = {
@@ -110,6 +131,14 @@ SOLICITATION_RULES: dict[str, tuple[tuple[tuple[str, str], ...], str]] = {
         (("RFI", f"(?i)request for information|{worded('rfei|rfi')}"), ("RFQ", f"(?i)request for qualifications|{worded('rfq')}"), ("RFP", f"(?i)request for proposal|{worded('rfp')}"), ("IFB", f"(?i)invitation (?:for|to) bid|{worded('ifb|itb')}"), ("Sole Source Notice", "(?i)sole source|single source")),
         "Public procurement notice",
     ),
+    "north_carolina": (
+        (("RFI", f"(?i)request for information|{worded('rfi')}"), ("RFQ", f"(?i)request for qualifications|{worded('rfq')}"), ("RFP", f"(?i)request for proposal|{worded('rfp')}"), ("IFB", f"(?i)invitation for bid|invitation to bid|{worded('ifb')}|{worded('itb')}")),
+        "Public procurement notice",
+    ),
+    "hawaii": ((("Request for Information", worded("RFI")), ("Request for Proposals", worded("RFP")), ("Request for Qualifications", worded("RFQ|SOQ")), ("Invitation for Bids", f"{worded('IFB')}|(?i)^B[0-9]")), "Solicitation"),
+    "south_dakota": ((("RFP", "(?i)RFP"), ("IFB", "(?i)IFB"), ("RFQ", "(?i)RFQ"), ("SOI", "(?i)SOI"), ("Prospectus", "(?i)PRO")), "Solicitation"),
+    "california": ((("RFI", worded("RFI")), ("RFQ", worded("RFQ")), ("RFP", worded("RFP")), ("IFB", f"{worded('IFB')}|(?i)INVITATION FOR BID")), "Sell RFx"),
+    "washington": ((("RFP", "(?i)RFP"), ("RFQ", "(?i)RFQ"), ("RFI", "(?i)RFI"), ("Bid", "(?i)IFB|ITB")), "State solicitation"),
 }
 
 #: Statuses of a project that end it when it has no deadline.
@@ -125,6 +154,10 @@ def jurisdiction(kind: Column) -> Column:
     return F.when(kind == "state_agency", "state").when(kind.isin("k12", "higher_ed"), "education").otherwise("local")
 
 
+def level(kind: Column, family: str) -> Column:
+    return F.when(kind.isin(*STATE_LEVEL[family]), "state").otherwise("local")
+
+
 def solicitation_type(c: Column, family: str) -> Column:
     rules, otherwise = SOLICITATION_RULES[family]
     return first_match(c, rules, otherwise)
