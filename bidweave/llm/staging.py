@@ -6,6 +6,7 @@ folder named by ``spark.checkpoint.dir``; a lost executor then costs a reread, n
 
 from __future__ import annotations
 
+import gc
 import threading
 import uuid
 from collections.abc import Callable, Iterator
@@ -78,6 +79,7 @@ def stage(df: DataFrame, label: str, codec: str = "zstd", partition_by: tuple[st
     with _shuffles_dropped(spark):
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     drop_at_end(spark, path)
+    _relieve(spark)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -86,6 +88,15 @@ def _place(spark: SparkSession, path: str) -> tuple:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+def _relieve(spark: SparkSession) -> None:
+    """Where the driver's heap has grown past half of what it may take, collect what nobody holds any more: frames here
+    let go of their plans, and Spark's cleaner, which works behind the collector alone, of broadcasts and shuffles."""
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if 2 * runtime.totalMemory() > runtime.maxMemory():
+        gc.collect()
+        runtime.gc()
+
+
 def drop_stage(spark: SparkSession, path: str) -> None:
     """Delete a staged table that no later plan reads."""
     store, target = _place(spark, path)
