@@ -74,6 +74,12 @@ def money(c: Column) -> Column:
     return F.regexp_replace(number, ",", "").try_cast("double") * scale
 
 
+def shown_money(c: Column) -> Column:
+    """Whole dollars with thousands apart, halves away from zero; the sign before the dollar."""
+    whole = F.round(F.abs(c)).cast("decimal(38,0)")
+    return F.concat(F.when((c < 0) & (whole > 0), "-").otherwise(""), F.lit("$"), F.format_number(whole, 0))
+
+
 def visible_text(html: Column) -> Column:
     """Lines of text of simple markup: references are decoded first, so that written-out tags go too."""
     steps = [

@@ -37,7 +37,7 @@ def is_state_source(adapter: Column, family: Column) -> Column:
     """Whether a source counts for the coverage of states."""
     named = adapter.isin(*STATE_OF_SOURCE)
     for start in STATE_FAMILIES:
-        named = named | adapter.startswith(start)
+        named = named | adapter.like(f"{start.rstrip('_')}_%")  # the underline stands for any one character
     return (family == "sled") | named
 
 
@@ -71,6 +71,16 @@ def agency_activity(agencies: DataFrame, opportunities: DataFrame, limit: int =
     return joined.orderBy(F.desc("open_count"), "agency", "agency_id").limit(limit)
 
 
+def agencies_by_people(agencies: DataFrame, opportunities: DataFrame, people: DataFrame, as_of: Column, limit: int = 100) -> DataFrame:
+    """Agencies with most known people first, then those with most records that can still be bid on, then by name."""
+    known = people.groupBy("agency_id").agg(F.count("*").alias("people"))
+    live = F.count_if((F.col("status") == "open") & (F.col("due_at").isNull() | (F.col("due_at") >= as_of)))
+    counts = opportunities.groupBy("agency_id").agg(live.alias("open_count"), F.count("*").alias("total_count"))
+    joined = agencies.join(known, "agency_id", "left").join(counts, "agency_id", "left")
+    joined = joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("people", "open_count", "total_count")})
+    return joined.orderBy(F.desc("people"), F.desc("open_count"), "agency", "agency_id").limit(limit)
+
+
 def top_people(people: DataFrame, k: int = 6) -> DataFrame:
     """The ``k`` most certain people of each agency, in order."""
     rank = F.row_number().over(Window.partitionBy("agency_id").orderBy(F.desc("confidence"), "full_name", "person_id"))

@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from bidweave.plans import catalog, packages, portals, registration, sync  # noqa: F401  (register their queries)
+from bidweave.plans import catalog, display, packages, portals, registration, sync  # noqa: F401  (register their queries)
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
