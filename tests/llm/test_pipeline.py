@@ -45,9 +45,8 @@ def check(table):
     for r in rows:
         members.setdefault(root[r["text"] or ""], []).append((r["doc_id"] is None, r["doc_id"] or 0))
     got = Counter(root[r["text"] or ""] for r in kept)
-    assert set(got) == set(members) and sum(got.values()) <= len(members) * 1.02
-    ids = {root[r["text"] or ""]: (r["doc_id"] is None, r["doc_id"] or 0) for r in kept}
-    assert sum(ids[g] != min(m) for g, m in members.items()) <= 0.02 * len(members)
+    assert got == dict.fromkeys(members, 1)
+    assert {root[r["text"] or ""]: (r["doc_id"] is None, r["doc_id"] or 0) for r in kept} == {g: min(m) for g, m in members.items()}
 
 
 def test_one_of_each_group(spark, docs, awkward, nothing):
