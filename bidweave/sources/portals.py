@@ -28,6 +28,7 @@ from .landed import dotnet_date
 from .records import COLUMNS, absolute, canonical, payload, text
 
 Field = Callable[[str], Column]
+SLASHED_DAY = r"\d{1,2}/\d{1,2}/\d{2,4}"
 
 
 @dataclass(frozen=True)
@@ -95,7 +96,7 @@ def _delaware(f: Field) -> dict[str, Column]:
     return {
         "agency_key": F.concat(F.lit("delaware:"), _or(code, "state")), **_kind(F.coalesce(F.concat(F.lit("State of Delaware - "), code), F.lit("State of Delaware")), "none"), "title": title,
         "solicitation_type": solicitation_type(title, "delaware"), "procurement_mechanism": F.lit("public solicitation"), "issue": f("opendate"), "due": f("deadlinedate"),
-        "source_url": F.coalesce(F.nullif(f("bidurl.url"), F.lit("")), F.when(f("bidurl").startswith("http"), f("bidurl")), F.lit("https://mmp.delaware.gov/Bids/")),
+        "source_url": F.coalesce(F.nullif(f("bidurl.url"), F.lit("")), F.when(f("bidurl").startswith("http"), f("bidurl")), F.lit("https://mmp.delaware.gov/Bids")),
         "raw_payload": payload(number=text(f("contractnumber")), title=title, opens=f("opendate"), deadline=f("deadlinedate"), agency=code, unspsc=text(f("unspsc"))),
     }
 
@@ -113,7 +114,7 @@ def _mississippi(f: Field) -> dict[str, Column]:
         "wanted": (F.lower(_or(f("BidStatus"), "")) == "open") & F.coalesce(f("BidNumber") != "", F.lit(False)), "agency_key": F.concat(F.lit("mississippi-procurement:"), F.coalesce(f("AgencyNumber"), name)), **_kind(name, "mississippi"),
         "title": F.coalesce(F.nullif(F.trim(f("BidDescription")), F.lit("")), F.concat_ws(" ", kind, f("BidNumber"))), "description": F.nullif(F.trim(f("AdditionalInfo")), F.lit("")), "solicitation_type": _or(f("BidType"), "Solicitation"),
         "procurement_mechanism": F.lit("public opportunity search"), "issue": _clock(f("AdvertiseDate"), f("AdvertiseTime")), "due": F.coalesce(_clock(f("SubmissionDate"), f("SubmissionTime")), _clock(f("OpeningDate"), f("OpeningTime"))),
-        "source_url": F.lit("https://www.ms.gov/dfa/contract_bid_search/Bid"), "raw_payload": payload(id=f("BidID"), number=f("BidNumber"), status=f("BidStatus"), type=f("BidType"), agency=f("Agency"), buyer=f("BuyerName"), category=f("ProcurementCategoryDescription"), due=f("SubmissionDate")),
+        "source_url": F.lit("https://www.ms.gov/dfa/contract_bid_search/Bid?autoloadGrid=true"), "raw_payload": payload(id=f("BidID"), number=f("BidNumber"), status=f("BidStatus"), type=f("BidType"), agency=f("Agency"), buyer=f("BuyerName"), category=f("ProcurementCategoryDescription"), due=f("SubmissionDate")),
     }
 
 
@@ -123,7 +124,7 @@ def _south_dakota(f: Field) -> dict[str, Column]:
     return {
         "agency_key": F.lit("south-dakota-central-bid-exchange"), **_kind(F.lit("State of South Dakota"), "none"), "title": F.coalesce(F.nullif(F.trim(f("eventName")), F.lit("")), number),
         "solicitation_type": solicitation_type(F.upper(_or(f("id"), "")), "south_dakota"), "procurement_mechanism": F.lit("public posting board"), "issue": f("publishedDate"), "due": f("eventDueDate"),
-        "source_url": F.concat(F.lit("https://postingboard.esmsolutions.com/eventDetail/"), F.url_encode(event)), "raw_payload": payload(event=event, number=number, status=f("status.description"), invitation=f("invitationType.description"), zone=f("timezoneName")),
+        "source_url": F.concat(F.lit("https://postingboard.esmsolutions.com/3444a404-3818-494f-84c5-2a850acd7779/eventDetail/"), F.url_encode(event)), "raw_payload": payload(event=event, number=number, status=f("status.description"), invitation=f("invitationType.description"), zone=f("timezoneName")),
     }
 
 
@@ -191,13 +192,13 @@ def _federal(f: Field) -> dict[str, Column]:
     }
 
 
-def _advantage(state: str, name: str) -> Callable[[Field], dict[str, Column]]:
+def _advantage(state: str, name: str, portal: str) -> Callable[[Field], dict[str, Column]]:
     def record(f: Field) -> dict[str, Column]:
         agency = _or(F.nullif(F.trim(f("DEPT_NM")), F.lit("")), name)
         closes = F.coalesce(F.nullif(f("SO_CLSNG_DT_TM"), F.lit("")), F.nullif(f("PUB_BID_OP_DT"), F.lit("")))
         return {
             "agency_key": F.concat(F.lit(f"cgi_advantage:{state}:"), agency), **_kind(agency, "advantage"), "title": F.nullif(F.trim(f("DOC_DSCR")), F.lit("")), "solicitation_type": F.trim(F.coalesce(f("DOC_CD"), f("SO_CAT_CD"), F.lit("Solicitation"))),
-            "procurement_mechanism": F.lit("public solicitation"), "issue": _milliseconds(f("PUB_DT")), "due": _milliseconds(closes), "source_url": F.concat(F.lit("https://vss.example/solicitation?solicitation_number="), F.url_encode(_advantage_key(f))),
+            "procurement_mechanism": F.lit("public solicitation"), "issue": _milliseconds(f("PUB_DT")), "due": _milliseconds(closes), "source_url": F.concat(F.lit(f"{portal}?solicitation_number="), F.url_encode(_advantage_key(f))),
             "raw_payload": payload(number=_advantage_key(f), category=f("SO_CAT_CD"), status=f("SO_STA"), code=f("DOC_CD"), title=f("DOC_DSCR"), department=agency, buyer=f("BUYR_NM"), closes=closes),
         }
 
@@ -252,28 +253,65 @@ def _california(f: Field) -> dict[str, Column]:
     name, title, by_title = text(f("[1]")), text(f("[3]")), solicitation_type(F.upper(text(f("[3]"))), "california")
     return {
         "wanted": name.isNotNull() & F.coalesce(f("[7]").rlike("(?i)posted"), F.lit(False)) & F.regexp_replace(f("[2]"), r"\s", "").rlike("(?i)^[A-Z0-9-]+$"), "must_be_due": F.lit(True), "agency_key": F.concat_ws(":", F.lit("california"), text(f("[0]")), name), **_kind(name, "california"), "title": title,
-        "solicitation_type": F.when(by_title != "Sell RFx", by_title).otherwise(_or(text(f("[5]")), "Sell RFx")), "procurement_mechanism": F.lit("public sourcing event"), "due": f("[6]"), "source_url": F.lit("https://caleprocure.ca.gov/pages/Events-BS3/event-search.aspx"),
+        "solicitation_type": F.when(by_title != "Sell RFx", by_title).otherwise(_or(text(f("[5]")), "Sell RFx")), "procurement_mechanism": F.lit("public sourcing event"), "due": f("[6]"), "source_url": F.lit("https://caleprocure.ca.gov/psp/psfpd1_3/SUPPLIER/ERP/c/AUC_MANAGE_BIDS.AUC_RESP_INQ_AUC.GBL"),
         "raw_payload": payload(department=text(f("[0]")), event=text(f("[2]")), title=title, format=text(f("[4]")), type=text(f("[5]")), ends=f("[6]"), status=f("[7]"), buyer=text(f("[8]"))),
     }
 
 
 def _nebraska(f: Field) -> dict[str, Column]:
-    name, page = text(f("[7]")), "https://das.nebraska.gov/materiel/bidopps.html"
+    name, page = text(f("[7]")), "https://das.nebraska.gov/materiel/bid-opportunities.html"
     return {
         "wanted": name.isNotNull(), "agency_key": F.concat(F.lit("nebraska:"), name), **_kind(name, "nebraska"), "title": text(f("[1]")), "description": text(f("[2]")), "solicitation_type": _or(text(f("[4]")), "State solicitation"), "procurement_mechanism": F.lit("public solicitation"),
         "issue": f("[0]"), "due": f("[3]"), "source_url": absolute(page, F.coalesce(f("href[1]"), f("href[6]"))), "raw_payload": payload(posted=f("[0]"), title=text(f("[1]")), category=text(f("[2]")), opening=f("[3]"), type=text(f("[4]")), buyer=text(f("[5]")), number=text(f("[6]")), agency=name),
     }
 
 
+def _washington_key(f: Field) -> Column:
+    """What follows "Ref#:", up to the remarks that a listing ends with."""
+    listed = text(f("[1]"))
+    ends = r"\s+(?:see specifications|Includes an Inclusion Plan|Pre-Bid Conference|Deadline for Submitting Questions|Additional Data)"
+    shorter = F.regexp_extract(listed, rf"(?is)Ref#:\s*(.+?)(?={ends})", 1)
+    return F.when(F.regexp_extract(f("[0]"), SLASHED_DAY, 0) != "", text(F.coalesce(F.nullif(shorter, F.lit("")), F.regexp_extract(listed, r"(?i)Ref#:\s*(.+)", 1))))
+
+
+def _washington(f: Field) -> dict[str, Column]:
+    listed, name, key = text(f("[1]")), _or(text(f("[-1]")), "State of Washington"), _washington_key(f)
+    head = text(F.split(listed, "(?i)Ref#:", 2)[0])
+    days = F.regexp_extract_all(f("[0]"), F.lit(f"({SLASHED_DAY})"), F.lit(1))
+    page = "https://pr-webs-vendor.des.wa.gov/BidCalendar.aspx"
+    return {
+        "agency_key": F.concat(F.lit("washington:"), name), **_kind(name, "washington"), "title": F.coalesce(head, key), "solicitation_type": solicitation_type(key, "washington"), "procurement_mechanism": F.lit("public solicitation"),
+        "issue": F.get(days, F.lit(1)), "due": F.get(days, F.lit(0)), "source_url": absolute(page, f("href[1]")), "raw_payload": payload(number=key, closes=F.get(days, F.lit(0)), amended=F.get(days, F.lit(1)), contact=text(f("[-1]")), listing=listed),
+    }
+
+
 def _wyoming(f: Field) -> dict[str, Column]:
     name, awarded = text(f("AGENCY NAME")), text(f("AWARDED TO (Vendor)"))
     return {
         "wanted": name.isNotNull() & (awarded.isNull() | (F.lower(awarded) == "pending")), "must_be_due": F.lit(True), "agency_key": F.concat(F.lit("wyoming:"), name), **_kind(name, "wyoming"), "title": text(f("DESCRIPTION")), "solicitation_type": F.lit("State solicitation"),
-        "procurement_mechanism": F.lit("formal bid process"), "issue": f("DATE BID SENT OUT"), "due": f("OPENING DATE"), "source_url": F.lit("https://ai.wyo.gov/divisions/general-services/purchasing/bid-opportunities"),
+        "procurement_mechanism": F.lit("formal bid process"), "issue": f("DATE BID SENT OUT"), "due": f("OPENING DATE"), "source_url": F.lit("https://ai.wyo.gov/divisions/general-services/purchasing/non-construction-bids"),
         "raw_payload": payload(number=text(f("Bid Number")), agency=name, description=text(f("DESCRIPTION")), sent=text(f("DATE BID SENT OUT")), opening=text(f("OPENING DATE")), awarded=awarded, contact=text(f("AGENGY CONTACT EMAIL"))),
     }
 
 
+# The states of two families of portals and where these stand.
+ADVANTAGE = (
+    ("AK", "Alaska", "https://iris-vss.alaska.gov/PRDVSS1X1/Advantage4"),
+    ("CO", "Colorado", "https://prd.co.cgiadvantage.com/PRDVSS1X1/Advantage4"),
+    ("KY", "Kentucky", "https://vss.ky.gov/vssprod-ext/Advantage4"),
+    ("ME", "Maine", "https://mevss.hostams.com/PRDVSS1X1/AltSelfService"),
+    ("MI", "Michigan", "https://sigma.michigan.gov/PRDVSS1X1/Advantage4"),
+    ("WV", "West Virginia", "https://prd311.wvoasis.gov/PRDVSS1X1ERP/Advantage4"),
+)
+PERISCOPE = (
+    ("IL", "https://www.bidbuy.illinois.gov/bso/"),
+    ("MA", "https://www.commbuys.com/bso/"),
+    ("NV", "https://nevadaepro.com/bso/"),
+    ("NJ", "https://www.njstart.gov/bso/"),
+    ("OR", "https://oregonbuys.gov/bso/"),
+)
+
+
 def portals(now: datetime) -> dict[str, Portal]:
     """All portals that have a mapping, by their source's key."""
     field = lambda path: lambda f: text(f(path))
@@ -287,14 +325,18 @@ def portals(now: datetime) -> dict[str, Portal]:
         "powerpages_nc": Portal("NC", "json", "Records", (), ("ItemCount",), field("Id"), _north_carolina, "powerpages_nc", PARSED, True),
         "opengov_public": Portal(None, "json", "projects", (), (), lambda f: F.concat_ws(":", F.coalesce(f("government.government.code"), f("government.id")), f("id")), _open_portal(now), "opengov_public", SOME, True, True),
         "sam_gov": Portal(None, "json", "opportunitiesData", (), ("totalRecords",), lambda f: F.coalesce(text(f("noticeId")), text(f("solicitationNumber"))), _federal, "sam_gov"),
-        "cgi_advantage_mi": Portal("MI", "embedded", "solicitations", (), ("total",), _advantage_key, _advantage("MI", "Michigan"), "cgi_advantage", EXACT, True),
-        "periscope_nv": Portal("NV", "table", "", ("Bid Solicitation #", "Description", "Bid Opening Date"), (), lambda f: _first(f, 1, 0), _periscope("NV", "https://nevadaepro.com/bso/"), "periscope", EXACT, True),
         "ivalua_app_az": Portal("AZ", "table", "", ("Code", "Label"), (), field("[1]"), _arizona, "ivalua_app_az", EXACT, True),
         "sap_ariba_index_ar": Portal("AR", "table", "", ("Solicitation", "Deadline"), (), field("[1]"), _arkansas, "sap_ariba_index_ar", SOME, True),
         "peoplesoft_ca": Portal("CA", "table", "", ("Event ID", "End Date"), (), lambda f: F.concat_ws(":", text(f("[0]")), text(f("[2]"))), _california, "peoplesoft_ca", EXACT, True),
         "nebraska_das_ne": Portal("NE", "table", "", ("Solicitation Number",), (), field("[6]"), _nebraska, "nebraska_das_ne", SOME, True),
+        "webs_wa": Portal("WA", "table", "", (), (), _washington_key, _washington, "webs_wa", SOME, True, False, 6 * 3600),
         "wyoming_ai_released_bids_wy": Portal("WY", "csv", "", ("Bid Number", "AGENCY NAME", "DESCRIPTION", "OPENING DATE"), (), field("Bid Number"), _wyoming, "wyoming_ai_released_bids_wy", SOME, True),
     }
+    for state, name, base in ADVANTAGE:
+        out[f"cgi_advantage_{state.lower()}"] = Portal(state, "embedded", "solicitations", (), ("total",), _advantage_key, _advantage(state, name, base), "cgi_advantage", EXACT, True)
+    for state, base in PERISCOPE:
+        headers = ("Bid Solicitation #", "Description", "Bid Opening Date")
+        out[f"periscope_{state.lower()}"] = Portal(state, "table", "", headers, (), lambda f: _first(f, 1, 0), _periscope(state, base), "periscope", EXACT, True)
     return out
 
 
@@ -312,6 +354,8 @@ def _variant_value(item: str) -> Field:
 
 def _cell(path: str) -> Column:
     """Cells by place (``[3]``), links by place (``href[3]``), or cells by header."""
+    if path == "[-1]":
+        return F.try_element_at("cells", F.lit(-1))
     if path.startswith("href["):
         return F.get("hrefs", F.lit(int(path[5:-1])))
     return F.get("cells", F.lit(int(path[1:-1]))) if path.startswith("[") else F.try_element_at("named", F.lit(path))

@@ -149,3 +149,14 @@ def test_observed_counts(spark):
     rows, seen = sweeps.observed(spark.createDataFrame([("a",), (None,)], "item_key string"), "sweep")
     rows.collect()
     assert seen.get == {"rows": 2, "keys": 1}
+
+
+def test_families_and_the_calendar_of_washington(spark, tmp_path):
+    assert {"periscope_or", "cgi_advantage_wv", "webs_wa", "nebraska_das_ne"} <= portals.portals(NOW).keys()
+    page = """<table><tr><td>1/5/2026<br>12/20/2025</td><td>Road salt Ref#: 26-RFP-1 Includes an Inclusion Plan: Y<a href="d?i=1">more</a></td><td>x</td><td>City of Yakima</td></tr>
+    <tr><td>Close</td><td>Ref#: 9</td><td>City</td></tr><tr><td>12/31/2025</td><td>Ref#: 26-7</td><td></td></tr><tr><td>12/30/25</td><td>Old Ref#: 26-8</td><td>A</td></tr></table>"""
+    rows = {r["external_id"]: r for r in swept(spark, tmp_path, [("webs_wa", 0, None, page)], ["webs_wa"])[0].collect()}
+    assert set(rows) == {"26-RFP-1", "26-7"}, "six hours of grace after the last second of the day in the portal's zone"
+    one = rows["26-RFP-1"]
+    assert (one["title"], one["agency"], one["agency_type"], one["solicitation_type"], one["source_url"], str(one["issue_date"])) == ("Road salt", "City of Yakima", "municipality", "RFP", "https://pr-webs-vendor.des.wa.gov/d?i=1", "2025-12-20")
+    assert (rows["26-7"]["title"], rows["26-7"]["agency"]) == ("26-7", "State of Washington")
