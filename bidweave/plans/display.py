@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import coverage, inventory
+from ..operators import coverage, inventory, postings
+from ..sources import landing
 from .catalog import Tables, query
 from .views import AS_OF
 
@@ -71,3 +74,17 @@ def a5_state_source_counts(spark, sf_dir):
     key = F.when(n % 5 == 0, F.concat(F.lit("periscopeX"), n)).when(n % 5 == 1, F.concat(F.lit("jaggaer_"), n)).when(n % 5 == 2, "indiana_idoa").when(n % 5 == 3, "peoplesoft").otherwise(F.col("adapter_key"))
     named = t.sources.withColumn("adapter_key", key)
     return coverage.source_counts(named.where(coverage.is_state_source(F.col("adapter_key"), F.col("source_family"))), t.opportunities)
+
+
+#: A rare term, one with both wildcards, one without a gram, one that is nowhere.
+TERMS = ("9_31", "ORDER%77", "s_e%12", "1_", "no such term")
+
+
+@query("f4_posted_search", " union all ".join(f"select '{t}' term, id from opp where title ilike '%{t}%' or description ilike '%{t}%' or external_id ilike '%{t}%'" for t in TERMS))
+def f4_posted_search(spark, sf_dir):
+    """Each term over all records, by their postings."""
+    records, path = Tables(spark, sf_dir).opportunities.select("id", "title", "description", "external_id"), landing.folder(spark, "postings")
+    postings.write(records, ["title", "description", "external_id"], path)
+    landing.drop_at_end(spark, path)
+    found = [postings.search(records, ["title", "description", "external_id"], path, t).select(F.lit(t).alias("term"), "id") for t in TERMS]
+    return reduce(lambda a, b: a.union(b), found)
