@@ -228,6 +228,11 @@ def a11_top_people(spark, sf_dir):
     return coverage.top_people(_people(Tables(spark, sf_dir)))
 
 
+@query("a11_people_json", f"{_PEOPLE_SQL}, r as (select *, row_number() over (partition by agency_id order by confidence desc, full_name, person_id)::int rank from people) select agency_id, to_json(list({{'rank': rank, 'full_name': full_name, 'title': title, 'confidence': confidence}} order by rank))::varchar people from r where rank <= 6 group by 1")
+def a11_people_json(spark, sf_dir):
+    return coverage.people_json(_people(Tables(spark, sf_dir)))
+
+
 @query("a12_vertical_totals", f"{_PEOPLE_SQL} select agency_type, count(*) total, count(website) with_website, count(*) filter (where agency_id in (select agency_id from people)) enriched from ag group by 1")
 def a12_vertical_totals(spark, sf_dir):
     t = Tables(spark, sf_dir)

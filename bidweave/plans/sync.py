@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import changes, crawl, details
-from ..sources import landing
+from ..sources import landed, landing
 from ..streaming.buckets import BucketedTable
 from .catalog import Tables, query
 
@@ -102,3 +102,17 @@ def d1_two_step_documents(spark, sf_dir):
     pages = raw.select("page_id", url.alias("url"), F.concat(F.coalesce("html", F.lit("")), *links).alias("html"))
     seeds = pages.where(n % 10 == 0).select(n.alias("id"), F.explode(F.array(F.struct(F.lit(0).alias("n"), "url"), F.struct(F.lit(1).alias("n"), F.concat(F.lit("https://h"), text((n + 7) % 7), F.lit(".example.org/p/"), text(n + 7)).alias("url")))).alias("s")).select("id", "s.*")
     return crawl.documents(seeds, pages.select("url", "html"))
+
+
+@query("s26_label_chunks", "select c_custkey page, row_number() over (partition by c_custkey order by o_orderkey)::int as position, o_orderkey::varchar event, 'Supply & ' || o_orderkey title, year(o_orderdate) || '-' || lpad(month(o_orderdate)::varchar, 2, '0') closes from orders join customer on o_custkey = c_custkey")
+def s26_label_chunks(spark, sf_dir):
+    """Each customer's orders as one page of label-delimited text, taken apart at its first label."""
+    t, key = Tables(spark, sf_dir), F.col("o_orderkey")
+    told = F.concat(F.lit("Event ID : "), key, F.lit("\n  Event Name:  Supply & "), key, F.lit(" \n Closes "), F.date_format("o_orderdate", "yyyy-MM"), F.lit("\n"))
+    orders = t.raw("orders").join(t.raw("customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
+    listed = orders.groupBy(F.col("c_custkey").alias("page")).agg(F.sort_array(F.collect_list(F.struct(key, told.alias("told")))).alias("rows"))
+    pages = listed.select("page", F.concat(F.lit("All events\n"), F.array_join(F.transform("rows", lambda r: r["told"]), "")).alias("body"))
+    chunks = landed.label_chunks(pages, "Event ID", keep=["page"])
+    c = F.concat(F.lit("Event ID"), F.col("chunk"))
+    labels = ("Event ID", "Event Name", "Closes")
+    return chunks.select("page", "position", *(landed.labelled(c, label, labels[i + 1 :]).alias(name) for i, (label, name) in enumerate(zip(labels, ("event", "title", "closes")))))
