@@ -10,12 +10,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Used only where the session names no shared folder (tests, local runs).
+LOCAL_DEFAULT = "/tmp/checkpoints"
 PAGE = "page int, reported long, body string, source string"
 
 
 def folder(spark: SparkSession, label: str) -> str:
-    """A new folder's place, in the shared folder that the session names (or, where it names none, the warehouse)."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder's place, in the shared folder that the session names; LOCAL_DEFAULT where it names none."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or LOCAL_DEFAULT
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
