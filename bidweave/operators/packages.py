@@ -58,8 +58,9 @@ def document_summary(docs: DataFrame, key: str = "opportunity_id", most: int = S
 
     ``docs`` have id, filename, fetched_at, extraction_status, is_missing, storage_key and source_url.
     """
+    url = document_url(F.col("id"), F.col("storage_key"), F.col("source_url"))
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last("fetched_at"), "filename", "id"))
-    shown = F.struct("place", "id", "filename", document_url(F.col("id"), F.col("storage_key"), F.col("source_url")).alias("url"), "extraction_status", "fetched_at")
+    shown = F.struct("place", "id", "filename", url.alias("url"), "extraction_status", "fetched_at")
     placed = docs.withColumn("place", place)
     return placed.groupBy(key).agg(
         F.count("*").alias("identified"), F.count("fetched_at").alias("fetched"), F.count_if(F.col("extraction_status").isin("complete", "extracted", "analyzed")).alias("analyzed"),
@@ -68,10 +69,13 @@ def document_summary(docs: DataFrame, key: str = "opportunity_id", most: int = S
 
 
 def requirement_evidence(requirements: DataFrame, docs: DataFrame, key: str = "opportunity_id", most: int = SUMMARY_REQUIREMENTS) -> DataFrame:
-    """The first mandatory requirements of each record with the document each stands in; those without one are left out."""
+    """The first mandatory requirements of each record with the document each stands in; those without one are left out.
+
+    Of one requirement's documents, where several share an id, the names and then the addresses give the order.
+    """
     named = docs.select(F.col("id").alias("document_id"), "filename", document_url(F.col("id"), F.col("storage_key"), F.col("source_url")).alias("url"))
     joined = requirements.where("mandatory").join(named, "document_id")
-    place = F.row_number().over(Window.partitionBy(key).orderBy("created_at", "id"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("created_at", "id", "filename", "url"))
     return joined.withColumn("place", place).where(F.col("place") <= most)
 
 
