@@ -56,10 +56,11 @@ def document_url(key: Column, storage_key: Column, source_url: Column) -> Column
 def document_summary(docs: DataFrame, key: str = "opportunity_id", most: int = SUMMARY_DOCUMENTS) -> DataFrame:
     """Counts of each record's documents and the first of them, last fetched first: one pass and one shuffle.
 
-    ``docs`` have id, filename, fetched_at, extraction_status, is_missing, storage_key and source_url.
+    ``docs`` have id, filename, fetched_at, extraction_status, is_missing, storage_key and source_url. Documents that share an id
+    stand in the order of what is shown of them.
     """
     url = document_url(F.col("id"), F.col("storage_key"), F.col("source_url"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last("fetched_at"), "filename", "id"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last("fetched_at"), "filename", "id", url, "extraction_status"))
     shown = F.struct("place", "id", "filename", url.alias("url"), "extraction_status", "fetched_at")
     placed = docs.withColumn("place", place)
     return placed.groupBy(key).agg(

@@ -14,3 +14,10 @@ def test_evidence_of_one_id(spark, turned):
     asked = spark.createDataFrame([(5, 1, 7, True, 0)], "id long, opportunity_id long, document_id long, mandatory boolean, created_at long")
     got = packages.requirement_evidence(asked, docs).orderBy("place").collect()
     assert [(r["filename"], r["url"][-1]) for r in got] == [("a.PDF", "2"), ("b.doc", "1"), ("b.doc", "2"), ("b.doc", "3")]
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_summary_of_one_id(spark, turned):
+    docs = spark.createDataFrame(FILES[::-1] if turned else FILES, DOCS).coalesce(1)
+    (got,) = packages.document_summary(docs, most=3).collect()
+    assert got["identified"] == 4 and [(d["filename"], d["url"][-1]) for d in got["documents"]] == [("a.PDF", "2"), ("b.doc", "1"), ("b.doc", "2")]
