@@ -19,6 +19,8 @@ DETAIL = (
     f" questionnaires array<struct<id:long,title:string,prompt:string,isRequired:boolean,type:string,attachments:array<{_FILE}>>>,"
     " evaluationPhases array<struct<scoringCriteria:array<struct<id:long,title:string,description:string,weight:double>>>>"
 )
+#: What ``requirements`` reads of a detail.
+ASKED = "criteria array<struct<title:string,description:string,isHiddenByLogic:boolean>>, questionnaires array<struct<title:string,prompt:string,isRequired:boolean>>"
 
 # Categories of requirements by words, in order, and words that make a text one.
 CATEGORIES = (
@@ -34,9 +36,12 @@ OTHER_CATEGORY = "other_requirement"
 REQUIRED = worded("shall|must|required|submit|failure to|will be cause|shall provide|shall include")
 
 
-def read(details: DataFrame, key: str = "id", body: str = "detail") -> DataFrame:
-    """``key`` and ``d``, the parsed detail; a text that is no such JSON has none."""
-    return details.select(key, F.from_json(body, DETAIL).alias("d")).where("d is not null")
+def read(details: DataFrame, key: str = "id", body: str = "detail", schema: str = DETAIL) -> DataFrame:
+    """``key`` and ``d``, the parsed detail, or what ``schema`` names of it; of a text that is no such JSON it is null or has no lists.
+
+    A filter would be pushed under the parse and have every text made and parsed twice.
+    """
+    return details.select(key, F.from_json(body, schema).alias("d"))
 
 
 def shown(html: Column) -> Column:
@@ -68,12 +73,16 @@ def attachments(parsed: DataFrame, key: str = "id") -> DataFrame:
 
 
 def requirements(parsed: DataFrame, key: str = "id") -> DataFrame:
-    """Criteria that are shown and ask for something, and required questionnaires: ``category``, ``requirement_text``, each text once."""
-    criteria = parsed.select(key, F.explode("d.criteria").alias("c")).where(~F.coalesce("c.isHiddenByLogic", F.lit(False)))
-    asked = criteria.select(key, _named(shown(F.col("c.title")), shown(F.col("c.description"))).alias("requirement_text")).where(F.col("requirement_text").rlike(REQUIRED))
-    answers = parsed.select(key, F.explode("d.questionnaires").alias("q")).where(F.coalesce("q.isRequired", F.lit(False)))
-    title = F.coalesce(F.nullif(F.col("q.title"), F.lit("")), F.lit("Required response item"))
-    both = asked.union(answers.select(key, _named(title, shown(F.col("q.prompt")))))
+    """Criteria that are shown and ask for something, and required questionnaires: ``category``, ``requirement_text``, each text once.
+
+    Both lists of a detail become texts before they are exploded, so that a detail is parsed once and a text made once; the plain
+    explode would be given a filter that makes the texts again.
+    """
+    seen = F.filter(F.coalesce("d.criteria", F.array()), lambda c: ~F.coalesce(c["isHiddenByLogic"], F.lit(False)))
+    asked = F.filter(F.transform(seen, lambda c: _named(shown(c["title"]), shown(c["description"]))), lambda t: t.rlike(REQUIRED))
+    wanted = F.filter(F.coalesce("d.questionnaires", F.array()), lambda q: F.coalesce(q["isRequired"], F.lit(False)))
+    answers = F.transform(wanted, lambda q: _named(F.coalesce(F.nullif(q["title"], F.lit("")), F.lit("Required response item")), shown(q["prompt"])))
+    both = parsed.select(key, F.explode_outer(F.array_distinct(F.concat(asked, answers))).alias("requirement_text")).where("requirement_text is not null")
     return both.distinct().select(key, first_match(F.col("requirement_text"), CATEGORIES, OTHER_CATEGORY).alias("category"), "requirement_text")
 
 

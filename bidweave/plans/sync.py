@@ -53,15 +53,16 @@ def m12_run_rows(spark, sf_dir):
 
 
 def _details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A detail for each order, its lists made of the order's lines."""
-    no, part, key = F.col("l_linenumber"), F.col("l_partkey").cast("string"), F.col("l_orderkey")
-    file = F.struct(F.when(no % 2 > 0, F.concat(F.lit("p/"), part)).alias("path"), F.col("l_partkey").alias("id"), F.concat(F.lit("https://files.example/"), part).alias("url"), F.concat(F.lit("f"), part, F.lit(".pdf")).alias("filename"))
-    ask = F.struct(no.alias("id"), F.concat(F.lit("Q"), (F.col("l_partkey") % 5).cast("string")).alias("title"), F.lit("<p>a&nbsp;<b>bond</b> </p>").alias("prompt"), (no % 2 > 0).alias("isRequired"), F.when(no % 3 == 0, F.array(file)).alias("attachments"))
-    criterion = F.struct(no.alias("id"), F.lit(" C ").alias("title"), F.concat(F.lit("<i>must</i> provide insurance "), (F.col("l_partkey") % 7).cast("string")).alias("description"), (no % 4 == 0).alias("isHiddenByLogic"))
-    scored = F.struct(F.concat(F.lit("S"), (F.col("l_partkey") % 3).cast("string")).alias("title"), (no * 5).cast("double").alias("weight"))
-    lists = [F.collect_list(x).alias(n) for n, x in (("attachments", F.when(no % 3 > 0, file)), ("questionnaires", ask), ("criteria", criterion), ("scoringCriteria", scored))]
-    grouped = Tables(spark, sf_dir).raw("lineitem").groupBy(key.alias("id")).agg(*lists)
-    return grouped.select("id", F.to_json(F.struct("attachments", "questionnaires", "criteria", F.array(F.struct("scoringCriteria")).alias("evaluationPhases"))).alias("detail"))
+    """A detail for each order, its lists made of the order's lines, which alone are shuffled."""
+    text = lambda c: c.cast("string")
+    file = lambda x: F.struct(F.when(x["no"] % 2 > 0, F.concat(F.lit("p/"), text(x["part"]))).alias("path"), x["part"].alias("id"), F.concat(F.lit("https://files.example/"), text(x["part"])).alias("url"), F.concat(F.lit("f"), text(x["part"]), F.lit(".pdf")).alias("filename"))
+    ask = lambda x: F.struct(x["no"].alias("id"), F.concat(F.lit("Q"), text(x["part"] % 5)).alias("title"), F.lit("<p>a&nbsp;<b>bond</b> </p>").alias("prompt"), (x["no"] % 2 > 0).alias("isRequired"), F.when(x["no"] % 3 == 0, F.array(file(x))).alias("attachments"))
+    criterion = lambda x: F.struct(x["no"].alias("id"), F.lit(" C ").alias("title"), F.concat(F.lit("<i>must</i> provide insurance "), text(x["part"] % 7)).alias("description"), (x["no"] % 4 == 0).alias("isHiddenByLogic"))
+    scored = lambda x: F.struct(F.concat(F.lit("S"), text(x["part"] % 3)).alias("title"), (x["no"] * 5).cast("double").alias("weight"))
+    lines = F.collect_list(F.struct(F.col("l_linenumber").alias("no"), F.col("l_partkey").alias("part")))
+    grouped = Tables(spark, sf_dir).raw("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(lines.alias("lines"))
+    lists = [F.transform(F.filter("lines", lambda x: x["no"] % 3 > 0), file).alias("attachments"), F.transform("lines", ask).alias("questionnaires"), F.transform("lines", criterion).alias("criteria")]
+    return grouped.select("id", F.to_json(F.struct(*lists, F.array(F.struct(F.transform("lines", scored).alias("scoringCriteria"))).alias("evaluationPhases"))).alias("detail"))
 
 
 @query("d3_new_attachments", "select distinct l_orderkey id, 'f' || l_partkey || '.pdf' filename, 'https://files.example/' || l_partkey source_url from lineitem where l_partkey % 9 > 0")
@@ -74,7 +75,7 @@ def d3_new_attachments(spark, sf_dir):
 
 @query("d3_requirements", "select distinct l_orderkey id, 'insurance' category, 'C: must provide insurance ' || l_partkey % 7 requirement_text from lineitem where l_linenumber % 4 > 0 union select distinct l_orderkey, 'bonding', 'Q' || l_partkey % 5 || ': a bond' from lineitem where l_linenumber % 2 > 0")
 def d3_requirements(spark, sf_dir):
-    return details.requirements(details.read(_details(spark, sf_dir)))
+    return details.requirements(details.read(_details(spark, sf_dir), schema=details.ASKED))
 
 
 @query("d3_evaluation_facts", "select distinct l_orderkey id, 'S' || l_partkey % 3 || ' — ' || 5 * l_linenumber || '%' source_text, (5 * l_linenumber)::double weight from lineitem")

@@ -158,3 +158,14 @@ def test_crawl_equals_a_loop(spark, width, docs):
     for r in crawl.documents(seeds, table).orderBy("id", "rank").collect():
         got.setdefault(r["id"], []).append(r["target"])
     assert got == {i: w for i, us in starts.items() if (w := walk(us, pages))}
+
+
+def test_a_detail_is_parsed_once_for_its_requirements(spark):
+    """One parse and one shuffle of lines; null elements, other texts and a narrower schema change nothing."""
+    bodies = ['{"criteria": [null, {"title": "must A"}, {"title": "must B", "isHiddenByLogic": true}], "questionnaires": [null, {"isRequired": true}]}', "[1]", "", None, '{"attachments": 3, "criteria": [{"title": "must A"}]}']
+    rows = spark.createDataFrame([(1, b) for b in bodies] + [(2, bodies[0])], "id long, detail string")
+    for schema in (details.DETAIL, details.ASKED):
+        got = details.requirements(details.read(rows, schema=schema)).collect()
+        assert sorted(tuple(r) for r in got) == [(k, "other_requirement", text) for k in (1, 2) for text in ("Required response item", "must A")]
+    plan = details.requirements(details.read(rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and "Union" not in plan
