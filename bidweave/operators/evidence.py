@@ -35,13 +35,15 @@ EXCLUDED_V2 = (
 BOILERPLATE_NAME = "(^| )(w 9|w9|form 1295|1295 form|certificate of interested parties)( |$)"
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows of a few files of one row group each would be read, split and searched by as few tasks: dealt to more."""
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(tasks) if len(rows.inputFiles()) < tasks else rows
+
+
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``line`` (from 1) and the squeezed ``content`` of every line with content."""
-    rows = docs.select(key, text)
-    tasks = rows.sparkSession.sparkContext.defaultParallelism
-    if len(rows.inputFiles()) < tasks:  # a few files of one row group each would be read, split and searched by as few tasks
-        rows = rows.repartition(tasks)
-    split = rows.select(key, F.posexplode(F.split(text, r"\r?\n")).alias("pos", "raw")).where(F.col("raw").rlike(r"(?U)\S"))
+    split = _spread(docs.select(key, text)).select(key, F.posexplode(F.split(text, r"\r?\n")).alias("pos", "raw")).where(F.col("raw").rlike(r"(?U)\S"))
     return split.select(key, (F.col("pos") + 1).alias("line"), squeezed(F.col("raw")).alias("content")).where("content <> ''")
 
 
@@ -89,21 +91,25 @@ def plausible_name(c: Column) -> Column:
 def page_lines(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Trimmed lines of each page's visible text, numbered without the empty ones."""
     rows = F.filter(F.transform(F.split(visible_text(F.col(html)), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return pages.select(key, F.posexplode(rows).alias("line", "content"))
+    return _spread(pages.select(key, html)).select(key, F.posexplode_outer(rows).alias("line", "content")).where("content is not null")
 
 
 def contacts(numbered: DataFrame, key: str = "page_id", rules: tuple = ROLE_RULES, most: int = 20) -> DataFrame:
-    """People near lines that name a role: two lines before to three after are searched."""
+    """People near lines that name a role: two lines before to three after are searched.
+
+    What a line says by itself (its role, name and address) is found once, before the windows; no address holds white space, so
+    the first of the lines around is the first of their joined text. A number may stand across two lines.
+    """
     w = Window.partitionBy(key).orderBy("line")
-    near = F.array_join(F.collect_list("content").over(w.rowsBetween(-2, 3)), " ")
-    bare = lambda c: plausible_name(F.regexp_replace(F.regexp_replace(c, EMAIL, ""), PHONE, ""))
-    around = [F.lag("content", 1).over(w), F.lead("content", 1).over(w), F.lag("content", 2).over(w), F.lead("content", 2).over(w)]
-    wide = numbered.select(key, "line", "content", near.alias("near"), *(c.alias(f"_{i}") for i, c in enumerate(around)))
-    role = first_match(F.col("content"), rules, None)
-    hits = wide.withColumn("role_family", role).where("role_family is not null")
-    hits = hits.withColumns({"email": F.nullif(F.regexp_extract("near", EMAIL, 0), F.lit("")), "phone": F.nullif(F.regexp_extract("near", PHONE, 0), F.lit(""))})
+    bare = plausible_name(F.regexp_replace(F.regexp_replace("content", EMAIL, ""), PHONE, ""))
+    told = numbered.select(key, "line", "content", F.struct(first_match(F.col("content"), rules, None).alias("role"), bare.alias("name"), F.nullif(F.regexp_extract("content", EMAIL, 0), F.lit("")).alias("email")).alias("own"))
+    around = F.coalesce(F.lag("own.name", 1).over(w), F.lead("own.name", 1).over(w), F.lag("own.name", 2).over(w), F.lead("own.name", 2).over(w))
+    near = w.rowsBetween(-2, 3)
+    wide = told.select(key, "line", "content", F.col("own.role").alias("role_family"), around.alias("around"), F.first("own.email", ignorenulls=True).over(near).alias("email"), F.collect_list("content").over(near).alias("near"))
+    hits = wide.where("role_family is not null and (around is not null or email is not null)")
     local = plausible_name(F.regexp_replace(F.substring_index("email", "@", 1), "[._-]+", " "))
-    named = hits.withColumn("name", F.coalesce(*(bare(F.col(f"_{i}")) for i in range(4)), local)).where("name is not null")
+    found = F.struct(F.when(F.col("around").isNotNull(), F.col("around")).otherwise(local).alias("name"), F.nullif(F.regexp_extract(F.array_join("near", " "), PHONE, 0), F.lit("")).alias("phone"))
+    named = hits.select("*", F.explode(F.array(found)).alias("found")).select(key, "line", "content", "role_family", "email", "found.*").where("name is not null")
     named = named.withColumn("confidence", F.when(F.col("email").isNotNull(), 88).when(F.col("phone").isNotNull(), 82).otherwise(72)).withColumn("title", F.substring("content", 1, 120))
     best = F.row_number().over(Window.partitionBy(key, F.lower("name"), F.lower("title")).orderBy(F.desc("confidence"), "line"))
     place = F.row_number().over(Window.partitionBy(key).orderBy("line"))
