@@ -109,9 +109,13 @@ def status_after(status: Column, event: Column) -> Column:
 
 
 def without_text_requirements(requirements: DataFrame, read_again: DataFrame) -> DataFrame:
-    """``requirements`` less those once read from the text of documents (``document_id``) that are read again."""
-    stale = read_again.select("document_id").distinct().withColumn("source", F.lit("document_text"))
-    return requirements.join(stale, ["document_id", "source"], "left_anti")
+    """``requirements`` less those once read from the text of documents (``document_id``) that are read again.
+
+    Those of no document, and those of another source, never go, so they stay out of the join: their keys would all meet in one task.
+    """
+    able = F.coalesce((F.col("source") == "document_text") & F.col("document_id").isNotNull(), F.lit(False))
+    stale = read_again.select("document_id")
+    return requirements.where(~able).unionByName(requirements.where(able).join(stale, "document_id", "left_anti").select(*requirements.columns))
 
 
 def merged_maps(left: Column, right: Column) -> Column:

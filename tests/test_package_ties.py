@@ -21,3 +21,13 @@ def test_summary_of_one_id(spark, turned):
     docs = spark.createDataFrame(FILES[::-1] if turned else FILES, DOCS).coalesce(1)
     (got,) = packages.document_summary(docs, most=3).collect()
     assert got["identified"] == 4 and [(d["filename"], d["url"][-1]) for d in got["documents"]] == [("a.PDF", "2"), ("b.doc", "1"), ("b.doc", "2")]
+
+
+def test_requirements_of_no_document_stay_out_of_the_join(spark):
+    rows = [(i, None if i % 2 else i, "document_text") for i in range(200)] + [(900, 4, "portal"), (901, 4, None), (902, 4, "document_text"), (903, None, None)]
+    asked = spark.createDataFrame(rows, "id long, document_id long, source string")
+    again = spark.createDataFrame([(4,), (4,), (6,), (None,)], "document_id long")
+    got = packages.without_text_requirements(asked, again)
+    assert got.columns == asked.columns and sorted(r["id"] for r in got.collect()) == [i for i in range(200) if i not in (4, 6)] + [900, 901, 903]
+    joined = str(got._jdf.queryExecution().optimizedPlan().toString()).split("Join LeftAnti")[1]
+    assert "isnotnull(document_id" in joined
