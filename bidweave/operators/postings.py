@@ -30,10 +30,13 @@ def bucket_of(gram: Column) -> Column:
 
 
 def write(records: DataFrame, fields: list[str], path: str, key: str = "id") -> None:
-    """The postings of ``fields``, as Parquet by bucket, sorted so that a gram stands in few row groups."""
+    """The postings of ``fields``, as Parquet by bucket, sorted so that a gram stands in few row groups.
+
+    Postings are dealt by bucket, and a bucket of more than a task's worth to several: the sort of a task does not grow with the records.
+    """
     texts = records.select(F.col(key).cast("long").alias("key"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields))).alias("t"))
     rows = texts.select(F.explode(grams_of(F.col("t.text"))).alias("gram"), "t.field", "key").withColumn("bucket", bucket_of(F.col("gram")))
-    rows.repartition("bucket").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(path)
+    rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(path)
 
 
 def grams_of_pattern(pattern: str) -> list[str]:

@@ -82,9 +82,12 @@ TERMS = ("9_31", "ORDER%77", "s_e%12", "1_", "no such term")
 
 @query("f4_posted_search", " union all ".join(f"select '{t}' term, id from opp where title ilike '%{t}%' or description ilike '%{t}%' or external_id ilike '%{t}%'" for t in TERMS))
 def f4_posted_search(spark, sf_dir):
-    """Each term over all records, by their postings."""
-    records, path = Tables(spark, sf_dir).opportunities.select("id", "title", "description", "external_id"), landing.folder(spark, "postings")
-    postings.write(records, ["title", "description", "external_id"], path)
+    """Each term over all records, which are put down once beside their postings."""
+    fields, path = ["title", "description", "external_id"], landing.folder(spark, "postings")
+    made = Tables(spark, sf_dir).opportunities.select("id", *fields)
+    made.write.parquet(f"{path}/records")
+    records = spark.read.schema(made.schema).parquet(f"{path}/records")
+    postings.write(records, fields, f"{path}/grams")
     landing.drop_at_end(spark, path)
-    found = [postings.search(records, ["title", "description", "external_id"], path, t).select(F.lit(t).alias("term"), "id") for t in TERMS]
+    found = [postings.search(records, fields, f"{path}/grams", t).select(F.lit(t).alias("term"), "id") for t in TERMS]
     return reduce(lambda a, b: a.union(b), found)

@@ -46,3 +46,17 @@ def test_a_selective_term_reads_its_own_folders(spark, kept):
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
     assert "PushedFilters: [" in plan and "gram" in plan and "BroadcastNestedLoop" not in plan
     assert postings.candidates(spark, path, "%ab%") is None and postings.candidates(spark, path, "%zzz%").count() == 0
+
+
+def test_a_large_bucket_is_dealt_to_several_tasks(spark, tmp_path):
+    records = spark.range(30_000).selectExpr("id", "concat('aaa', id) title", "cast(null as string) description").repartition(6)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20000")
+        postings.write(records, FIELDS, str(tmp_path / "p"))
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    bucket = spark.range(1).select(postings.bucket_of(postings.F.lit("aaa"))).first()[0]
+    assert len(list((tmp_path / "p" / f"bucket={bucket}").glob("*.parquet"))) > 1
+    assert spark.read.parquet(str(tmp_path / "p")).where("gram = 'aaa'").count() == 30_000 == postings.candidates(spark, str(tmp_path / "p"), "%aaa%").count()
