@@ -106,8 +106,13 @@ def _rendered(orders: DataFrame, source: str) -> DataFrame:
 
 
 def landed_pages(spark: SparkSession, sf_dir: str, wanted: tuple[str, ...] = DEALT) -> tuple[DataFrame, str]:
-    """The rendered pages, landed and read back, and the folder that goes with the application."""
-    path, orders = landing.folder(spark, "landed"), _orders(spark, sf_dir)
+    """The rendered pages, landed and read back, and the folder that goes with the application.
+
+    The orders are joined and numbered once and put down by portal, so that no portal's rendering sends the customers out again.
+    """
+    path, made = landing.folder(spark, "landed"), _orders(spark, sf_dir).where(F.col("source").isin(*wanted))
+    made.write.partitionBy("source").parquet(f"{path}/orders")
+    orders = spark.read.schema(made.schema).parquet(f"{path}/orders")
     for source in wanted:
         landing.land(_rendered(orders, source), f"{path}/pages")
     landing.drop_at_end(spark, path)
