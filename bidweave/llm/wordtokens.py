@@ -16,7 +16,7 @@ import numpy as np
 
 #: Letters that the file's normaliser only lower-cases, so that a run of them is one piece.
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-CLOSING = ".,"
+CLOSING = (b".", b",")
 MOST_KEPT = 250_000  # in each of two generations
 SLICE_BYTES = 2 << 20
 
@@ -50,34 +50,39 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.dtype, self.letters = dtype, _byte_letters()
+        self.letters = _byte_letters()
+        each = np.arange(self.tokenizer.get_vocab_size()).astype(dtype)
+        self.packed = [x.tobytes() for x in each]
         self.kept: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        self.closing = {c: self._pack(self._library([c])[0]) for c in CLOSING}
+        self.closing = {c: self._pack(self._library([c.decode()])[0]) for c in CLOSING}
 
     def _library(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return b"".join(map(self.packed.__getitem__, ids))
 
     def _learn(self, words: set[bytes]) -> None:
-        kept, hard = self.kept, []
-        piece = self.tokenizer.model.tokenize
-        for word in words:
-            if (ids := self.older.get(word)) is not None:
-                kept[word] = ids
-                continue
-            text = word.decode()
-            end = text[-1] if text[-1] in CLOSING else ""
-            core = text[:-1] if end else text
-            if not PLAIN.fullmatch(core):
+        kept, older, hard = self.kept, self.older, []
+        piece, packed = self.tokenizer.model.tokenize, self.packed
+        known = words & older.keys()
+        kept.update(zip(known, map(older.__getitem__, known)))
+        for word in words - known:
+            end = word[-1:] if word.endswith(CLOSING) else b""
+            core = word[:-1] if end else word
+            if core.isalpha():  # of bytes: ASCII letters, which stand for themselves in the byte-level alphabet
+                raw = core.lower()
+                spelt = raw.decode("ascii")
+            elif PLAIN.fullmatch(text := core.decode()):
+                raw = text.lower().encode()
+                spelt = None
+            else:
                 hard.append(word)
                 continue
-            core = core.lower()
-            raw = core.encode()
-            if (ids := kept.get(raw) or self.older.get(raw)) is None:
-                ids = kept[raw] = self._pack([t.id for t in piece(raw.decode("latin-1").translate(self.letters))])
+            if (ids := kept.get(raw) or older.get(raw)) is None:
+                spelt = spelt or raw.decode("latin-1").translate(self.letters)
+                ids = kept[raw] = b"".join([packed[t.id] for t in piece(spelt)])
             kept[word] = ids + self.closing[end] if end else ids
         for word, ids in zip(hard, self._library([w.decode() for w in hard])):
             kept[word] = self._pack(ids)
@@ -89,7 +94,7 @@ class WordEncoder:
         if len(self.kept) > MOST_KEPT:
             self.older, self.kept = self.kept, {}  # what is in use comes back, what is rare goes
         split = [t.split() for t in texts]  # of bytes: at the six ASCII white space characters
-        self._learn(set().union(*split) - self.kept.keys())
+        self._learn(set().union(*split).difference(self.kept))  # of a dict: looks words up, where its keys would all be gone through
         get = self.kept.__getitem__
         return [b"".join(map(get, words)) for words in split]
 

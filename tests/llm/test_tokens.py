@@ -97,6 +97,26 @@ def test_limit_holds():
     assert lengths.max() <= 8 and sum(2.0 ** -int(x) for x in lengths) <= 1
 
 
+def test_words_of_ascii_letters_take_the_short_way(monkeypatch):
+    """Nearly all new words are such; they are neither matched as text nor translated, and words of the older
+    generation come back without being taken apart again."""
+    encoder, matched = wordtokens.WordEncoder(vocabulary("word_bpe_49k.json")), []
+    plain = wordtokens.PLAIN
+
+    class Counted:
+        def fullmatch(self, text):
+            matched.append(text)
+            return plain.fullmatch(text)
+
+    monkeypatch.setattr(wordtokens, "PLAIN", Counted())
+    monkeypatch.setattr(wordtokens, "MOST_KEPT", 4)
+    texts = ["the Thinorst ieesado, enquechtre. . ,", "Über naïve, a.b x1 É.", "THE ieesado Ieesado. the"]
+    want = [np.array(e.ids, "<u2").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(3):
+        assert [encoder.encode([t.encode()])[0] for t in texts] == want
+    assert not {"the", "The", "THE", "Thinorst", "ieesado", "Ieesado", "enquechtre"} & set(matched) and "naïve" in matched
+
+
 def test_files_in_order(spark, docs, awkward, nothing, tmp_path):
     encoder = wordtokens.WordEncoder(vocabulary("word_bpe_49k.json"))
     for k, table in enumerate((docs, awkward, nothing)):
