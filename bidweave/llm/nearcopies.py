@@ -225,8 +225,7 @@ def _joined(pairs: DataFrame, bodies: DataFrame, links: DataFrame) -> DataFrame:
         share = F.pmod(F.xxhash64("u", "v"), F.lit(most)).alias("share")
         picked, _ = stage(ends.groupBy("r", share).agg(F.min(F.struct("u", "v")).alias("p")).select("p.u", "p.v").distinct(), "copy-picked")
         most *= 2
-        links, _ = stage(links.union(_alike(picked, bodies)), "copy-links")
-        roots = connected(links)
+        roots = connected(roots.toDF("u", "v").union(_alike(picked, bodies)))  # stars stand for the links they came of
         pairs = pairs.join(picked, ["u", "v"], "left_anti").select("u", "v")
 
 

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import xxhash
 
-from bidweave.llm import neardup
+from bidweave.llm import components, neardup
 
 
 def fingerprint(text):
@@ -74,3 +74,25 @@ def test_trie_join_against_all_pairs(spark, monkeypatch):
     for f in fps:
         got.setdefault(found.get(f, f), set()).add(f)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
+
+
+def test_rounds_end_with_stars(spark, monkeypatch):
+    """Links that are stars already cost no round; others none that changes nothing."""
+    made = []
+    real = components.stage
+    monkeypatch.setattr(components, "stage", lambda df, label: made.append(label) or real(df, label))
+
+    def roots(links):
+        made.clear()
+        return dict(map(tuple, components.connected(spark.createDataFrame(links, "u long, v long")).collect()))
+
+    assert roots([(1, 2), (3, 1), (1, 3), (7, 7), (5, 9)]) == {2: 1, 3: 1, 9: 5} and len(made) == 1
+    assert roots([(1, 2), (2, 3)]) == {2: 1, 3: 1} and len(made) == 2
+    assert roots([]) == {} and len(made) == 1
+    rnd = random.Random(5)
+    links = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(500, 560)]
+    least = {n: n for link in links for n in link}
+    for _ in least:
+        for u, v in links:
+            least[u] = least[v] = min(least[u], least[v])
+    assert roots(links) == {n: r for n, r in least.items() if n != r}
